@@ -56,7 +56,7 @@ def release(df: DataFrame) -> None:
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, so that very long texts do not add up in a Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key, str(1 << 31))).rstrip("bB")) > BATCH_BYTES:
+    if spark.conf.get(key) != str(BATCH_BYTES):
         spark.conf.set(key, str(BATCH_BYTES))
 
 

@@ -119,7 +119,7 @@ _LABEL = r"[A-Za-z0-9-]{1,63}"
 _TOP = r"(?:com|org|net|edu|gov|mil|int|info|biz|io|ai|co|app|dev|me|tv|eu|uk|us|ca|au|de|at|ch|fr|es|it|nl|be|pt|pl|se|no|dk|fi|ie|ru|ua|jp|cn|in|br|mx|ar|nz|za|example|test|invalid|local)(?![A-Za-z0-9-])"
 #: An address whose at sign is in brackets, or whose at is a word and at least one dot is disguised too.
 _ADDRESS = re.compile(
-    rf"{_NAME}(?:{_HARD_AT}{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|(?:{_AT}|@){_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{0,4}}?{_DOT}{_TOP}|{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{1,4}}?\.{_TOP}|\s+@\s+{_LABEL}(?:\.{_LABEL})+)",
+    rf"{_NAME}(?:{_HARD_AT}{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+|(?:{_AT}|@){_LABEL}(?:(?:{_DOT}|\.){_LABEL}){{0,4}}{_DOT}{_TOP}|{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{1,4}}\.{_TOP}|\s+@\s+{_LABEL}(?:\.{_LABEL})+)",
     re.IGNORECASE,
 )
 _ADDRESS_HINTS = ("dot", "punkt", "punto", "arroba", "_at_", " @ ", "@\n", "\n@", "[", "(", "{", "<")
