@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, pii, quality_rules, sharding, token_counts
+from . import exact_dedup, lm_scoring, mixing, packing, pii, quality_rules, sharding, substring_dedup, token_counts
 from .common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +22,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -38,12 +43,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.lm_scores(read_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_mixing, op4_packing, op5_quality_rules, op6_sharding, op7_exact_dedup, op10_pii]
+    found = [op1_token_counts, op2_mixing, op3_substring_dedup, op4_packing, op5_quality_rules, op6_sharding, op7_exact_dedup, op8_lm_scoring, op10_pii]
     return {f.__name__: f for f in found}
 
 
@@ -85,5 +95,26 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+_OP8 = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+tokens AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
+pairs AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS u, lag(w) OVER (PARTITION BY doc_id ORDER BY i) IS NOT NULL AS follows FROM tokens),
+all1 AS (SELECT w, count(*) AS c FROM tokens GROUP BY w), own1 AS (SELECT doc_id, w, count(*) AS c FROM tokens GROUP BY ALL),
+all2 AS (SELECT u, w, count(*) AS c FROM pairs WHERE follows GROUP BY ALL), own2 AS (SELECT doc_id, u, w, count(*) AS c FROM pairs WHERE follows GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM tokens), size AS (SELECT doc_id, len(words) AS n_words FROM split),
+counted AS (
+  SELECT p.doc_id, p.follows, a1.c - o1.c AS c1, ac.c - oc.c AS context, a2.c - o2.c AS c2, greatest(n.n - s.n_words, 1) AS rest
+  FROM pairs p JOIN size s USING (doc_id) CROSS JOIN n
+  JOIN all1 a1 ON a1.w = p.w JOIN own1 o1 ON o1.doc_id = p.doc_id AND o1.w = p.w
+  LEFT JOIN all1 ac ON ac.w = p.u LEFT JOIN own1 oc ON oc.doc_id = p.doc_id AND oc.w = p.u
+  LEFT JOIN all2 a2 ON a2.u = p.u AND a2.w = p.w LEFT JOIN own2 o2 ON o2.doc_id = p.doc_id AND o2.u = p.u AND o2.w = p.w),
+scored AS (
+  SELECT doc_id, CASE WHEN c2 > 0 THEN ln(c2 / context)
+    ELSE ln(CASE WHEN c1 > 0 THEN c1 ELSE 0.4::DOUBLE END / rest) + CASE WHEN follows THEN ln(0.4::DOUBLE) ELSE 0 END END AS score FROM counted)
+SELECT s.doc_id, s.n_words::BIGINT AS n_words, round(coalesce(sum(score), 0), 4) AS log_score
+FROM size s LEFT JOIN scored USING (doc_id) GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _OP2, "op7_exact_dedup": _OP7}
+    return {"op2_mixing": _OP2, "op7_exact_dedup": _OP7, "op8_lm_scoring": _OP8}
