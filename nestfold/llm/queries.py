@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, packing, pii, quality_rules, sharding, substring_dedup, token_counts
+from . import exact_dedup, lm_scoring, mixing, packing, pii, quality_rules, sharding, simhash, substring_dedup, token_counts
 from .common import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,12 +48,16 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_classes(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_mixing, op3_substring_dedup, op4_packing, op5_quality_rules, op6_sharding, op7_exact_dedup, op8_lm_scoring, op10_pii]
+    found = [op1_token_counts, op2_mixing, op3_substring_dedup, op4_packing, op5_quality_rules, op6_sharding, op7_exact_dedup, op8_lm_scoring, op9_simhash, op10_pii]
     return {f.__name__: f for f in found}
 
 
