@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestfold.plans.lineage import materialize
+
 
 def union_all(*frames: DataFrame) -> DataFrame:
     """By name; a column that a branch lacks is MISSING (null) there."""
@@ -61,17 +63,17 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], levels: i
     """WITH RECURSIVE: `step` makes new rows of the last level's rows, until there are none.
 
     distinct: rows (by `key`, else whole) that were there before are dropped, which ends cycles.
-    Each level is checkpointed into the shared folder, so plans stay short.
+    Each level is written into the shared folder, so plans stay short.
     """
     found = seed.distinct() if distinct else seed
-    level = found = found.checkpoint()
+    level = found = materialize(found)
     for _ in range(levels):
         new = step(level).select(*found.columns)
         if distinct:
             new = new.dropDuplicates(key) if key else new.distinct()
             on = key or found.columns
             new = new.join(found.select(*on), [new[c].eqNullSafe(found[c]) for c in on], "left_anti")
-        level = new.checkpoint()
+        level = materialize(new)
         if level.isEmpty():
             break
         found = found.union(level)
