@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nestfold.plans.lineage import materialize  # noqa: F401  (used by the operators)
+
 #: Arrow batches to Python workers stay under this many bytes, whatever the length of texts.
 BATCH_BYTES = 24 << 20
 
@@ -22,29 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="nestfold-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs one task of what follows, and later readers do not
-    run the plan again. The files go when the JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nestfold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(df: DataFrame) -> None:
     """Delete the files of a materialized table that no plan reads any more."""
     spark = df.sparkSession
