@@ -62,7 +62,7 @@ _FACTOR = {"millennium": (12000, "month"), "century": (1200, "month"), "decade":
 
 def date_add_millis(ms, n, part: str) -> Column:
     factor, unit = _FACTOR[part]
-    ms, n = _c(ms).cast("long"), _c(n) * factor
+    ms, n = _c(ms).cast("long"), _c(n).cast("long") * factor
     if unit == "ms":
         return ms + n
     if unit == "day":

@@ -116,7 +116,7 @@ def mb_length(s) -> Column:
 
 
 def _text(b: Column) -> Column:
-    return F.decode(b, F.lit("UTF-8"))
+    return F.decode(b, "UTF-8")
 
 
 def substr0(s, pos, n=None) -> Column:

@@ -63,15 +63,32 @@ def canonical(v) -> Column:
     return F.to_json(_c(v))
 
 
-def collate_key(v) -> Column:
-    """struct(rank, num, len, str), ordered as values are; arrays and objects by length, then by their JSON."""
-    v = _c(v)
+_RANKS = ("missing", "null", "boolean", "number", "string", "array", "object", "binary")
+
+
+def _scalar_key(v: Column) -> tuple[Column, Column, Column]:
     k = kind(v)
-    rank = F.element_at(F.create_map(*[F.lit(x) for p in zip(("missing", "null", "boolean", "number", "string", "array", "object", "binary"), range(8)) for x in p]), k)
+    rank = F.element_at(F.create_map(*[F.lit(x) for p in zip(_RANKS, range(8), strict=True) for x in p]), k)
     num = F.when(k == "number", F.try_variant_get(v, "$", "double")).when(k == "boolean", F.try_variant_get(v, "$", "boolean").cast("double"))
-    size = F.when(k == "object", F.size(F.try_variant_get(v, "$", "map<string,variant>")))
-    text = F.when(k == "string", F.try_variant_get(v, "$", "string")).when(k.isin("array", "object"), F.to_json(v))
-    return F.struct(rank.alias("rank"), num.alias("num"), size.alias("len"), text.alias("str"))
+    return rank, num, F.when(k == "string", F.try_variant_get(v, "$", "string"))
+
+
+def collate_key(v) -> Column:
+    """struct(rank, num, len, items, str), ordered as values are.
+
+    Arrays go by their elements, then by length; objects by length, then by their JSON, whose
+    fields stand in order of their names. Arrays and objects inside arrays go by their JSON.
+    """
+    v = _c(v)
+    rank, num, text = _scalar_key(v)
+    size = F.when(kind(v) == "object", F.size(F.try_variant_get(v, "$", "map<string,variant>")))
+
+    def item(x: Column) -> Column:
+        r, n, s = _scalar_key(x)
+        return F.struct(r.alias("rank"), n.alias("num"), F.coalesce(s, F.when(kind(x).isin("array", "object"), F.to_json(x))).alias("str"))
+
+    items = F.when(kind(v) == "array", F.transform(F.try_variant_get(v, "$", "array<variant>"), item))
+    return F.struct(rank.alias("rank"), num.alias("num"), size.alias("len"), items.alias("items"), F.coalesce(text, F.when(kind(v) == "object", F.to_json(v))).alias("str"))
 
 
 def truthy(v) -> Column:
@@ -103,5 +120,5 @@ def within(v, depth: int = 6) -> Column:
     for _ in range(depth):
         inner = lambda x: F.when(kind(x) == "array", F.try_variant_get(x, "$", "array<variant>")).when(kind(x) == "object", F.map_values(F.try_variant_get(x, "$", "map<string,variant>"))).otherwise(F.array().cast("array<variant>"))
         level = F.flatten(F.transform(level, inner))
-        out = F.concat(out, F.transform(level, F.to_json))
+        out = F.concat(out, F.transform(level, lambda x: F.to_json(x)))
     return out

@@ -52,7 +52,7 @@ def kmeans(vectors: DataFrame, k: int, rounds: int = 10, vector: str = "embeddin
     """Lloyd's centroids from the k vectors of least id; only k centroids reach the driver a round."""
     centres = [list(map(float, r[0])) for r in vectors.orderBy(id_col).select(vector).limit(k).collect()]
     for _ in range(rounds):
-        placed = vectors.select(nearest(F.col(vector), centres)["index"].alias("index"), F.posexplode(vector))
+        placed = vectors.select(vector, nearest(F.col(vector), centres).alias("near")).select(F.col("near.index").alias("index"), F.posexplode(vector))
         found = placed.groupBy("index", "pos").agg(F.avg("col").alias("x")).groupBy("index").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).collect()
         new = list(centres)
         for row in found:

@@ -64,9 +64,13 @@ def bins(df: DataFrame, group: list[str], value: str, low: str, high: str, n: in
 
 def _chart(heights: Column) -> Column:
     """One block character for each number, scaled from least to largest."""
-    low, high = F.array_min(heights), F.array_max(heights)
-    level = lambda x: F.coalesce(F.floor(F.try_divide(x - low, high - low) * (len(BARS) - 1) + 0.5), F.lit(0))
-    return F.array_join(F.transform(heights, lambda x: F.substring(F.lit(BARS), level(x).cast("int") + 1, F.lit(1))), "")
+
+    def draw(e: Column) -> Column:  # bounds are fields of one element, so that they are found once
+        level = lambda x: F.coalesce(F.floor(F.try_divide(x - e["low"], e["high"] - e["low"]) * (len(BARS) - 1) + 0.5), F.lit(0))
+        return F.array_join(F.transform(e["hs"], lambda x: F.substring(F.lit(BARS), level(x).cast("int") + 1, F.lit(1))), "")
+
+    once = F.struct(heights.alias("hs"), F.array_min(heights).alias("low"), F.array_max(heights).alias("high"))
+    return F.get(F.transform(F.array(once), draw), 0)
 
 
 def sparkline(x: Column, order: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """term, id, tf (times in the document) and dl (the document's terms)."""
     words = F.filter(F.split(F.lower(F.col(text)), r"\W+"), lambda w: w != "")
-    return df.select(F.col(id_col).alias("id"), F.size(words).alias("dl"), F.explode(words).alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    split = df.select(F.col(id_col).alias("id"), words.alias("words"))  # once a document, not once a word
+    return split.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def search(index: DataFrame, must: list[str] = (), should: list[str] = (), must_not: list[str] = (), k1: float = 1.2, b: float = 0.75, fuzzy: int = 0) -> DataFrame:
