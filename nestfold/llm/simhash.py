@@ -124,6 +124,7 @@ def depth_for(n: int, similarity: float) -> int:
 def close_groups(lo: np.ndarray, hi: np.ndarray, most: int) -> np.ndarray:
     """For each fingerprint the first index of its group, groups linked by distances up to `most`."""
     n = len(lo)
+    lo, hi = lo.view(np.uint64), hi.view(np.uint64)  # bits of a negative number are counted without its sign
     label = np.arange(n)
     for s in range(0, n, 256):
         e = min(n, s + 256)
