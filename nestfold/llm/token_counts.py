@@ -26,14 +26,14 @@ class PieceCounter:
     """Count the pieces of a word.
 
     first: pieces that begin a word. rest: pieces that continue one. Both are bytes.
-    A byte that no piece can begin with at its place counts as one piece of its own.
+    Every single byte is a piece too, so that a byte with which no other piece begins counts as one.
     """
 
     def __init__(self, first: set[bytes], rest: set[bytes]):
         self.edges: list[dict[int, int]] = [{}, {}]  # node 0 begins a word, node 1 continues it
         final = [False, False]
         for root, pieces in ((0, first), (1, rest)):
-            for piece in sorted(pieces):
+            for piece in sorted(pieces | {bytes([b]) for b in range(256)}):
                 node = root
                 for byte in piece:
                     nxt = self.edges[node].get(byte)
@@ -48,7 +48,7 @@ class PieceCounter:
         self._link(final)
 
     def _link(self, final: list[bool]) -> None:
-        """Failure links, breadth first. -1: nothing can be popped, so the first byte goes alone."""
+        """Failure links, breadth first; -1 at the two roots, where nothing is pending."""
         edges = self.edges
         fail, popped = [-1] * len(edges), [0] * len(edges)
         queue = [(child, 0, byte) for byte, child in edges[0].items()] + [(child, 1, byte) for byte, child in edges[1].items()]
@@ -75,25 +75,11 @@ class PieceCounter:
             if nxt is not None:
                 node = nxt
                 i += 1
-            elif fail[node] != -1:
+            else:
                 total += popped[node]
                 node = fail[node]
-            else:  # no piece fits: the first pending byte counts alone, what follows is read anew
-                i += 1 - self._depth(node)
-                total, node = total + 1, 1
         return total
 
-    def _depth(self, node: int) -> int:
-        if not hasattr(self, "_depths"):
-            depths = [0] * len(self.edges)
-            queue = [0, 1]
-            for at in queue:
-                for child in self.edges[at].values():
-                    depths[child] = depths[at] + 1
-                    queue.append(child)
-            self._depths = depths
-        return self._depths[node]
-
 
 def byte_level_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
     """Pieces of a byte-level vocabulary file: those after a blank begin words, the others continue them."""
