@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nestfold.functions import arrays, dates, objects, scalar, variants, vectors
+from nestfold.functions import arrays, dates, objects, registry, scalar, variants, vectors
 from nestfold.operators import aggregates, joins, sets, temporal, windows
 from nestfold.plans import querypack
 from nestfold.sources import extract, search
@@ -607,6 +607,20 @@ def variant_within(t):
     return t("events").select("event_id", F.size(found).alias("n"), F.get(found, 0).alias("v"))
 
 
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN contains(p_type, 'TIN') THEN strlen(split_part(p_type, 'TIN', 1)) ELSE -1 END AS place FROM part")
+def registered_functions(t):
+    df = t("part")
+    registry.register_all(df.sparkSession)
+    return df.sparkSession.sql("SELECT p_partkey, slugify(p_type) AS slug, CAST(position0(p_type, 'TIN') AS BIGINT) AS place FROM {p}", p=df)
+
+
+@query("SELECT range AS value FROM range(0, 100, 7)")
+def table_function(t):
+    spark = t("region").sparkSession
+    registry.register_all(spark)
+    return spark.sql("SELECT value FROM series(0, 100, 7)")
+
+
 # --- vectors -----------------------------------------------------------------------------------------
 
 _V0 = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"

@@ -249,3 +249,14 @@ def test_streaming_windows(spark, tmp_path):
     query = cursors.windowed_counts(stream, "ts", "2 minutes", "0 seconds", ["k"]).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r["n"] for r in spark.table("w").collect()) == [1, 2]
+
+
+def test_registry(spark):
+    from nestfold.functions import registry
+
+    names = registry.register_all(spark)
+    assert registry.failing_examples(spark) == []
+    assert [r[0] for r in spark.sql("SELECT * FROM series(0, 7, 3)").collect()] == [0, 3, 6]
+    assert spark.sql("SELECT geomean(x) AS g FROM VALUES (2D), (8D), (-1D) AS t(x)").first()["g"] == pytest.approx(4.0)
+    for name in names:
+        registry.unregister(spark, name)
