@@ -23,9 +23,9 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from .blobs import ascending, blocks, bucket_edges, deltas, mix, pack, unpack
 from .common import bound_batches, materialize, parts_for
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Keys that one count table (one task) holds at most.
-TABLE_KEYS = 6_000_000
+TABLE_KEYS = 2_500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
