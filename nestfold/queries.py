@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from nestfold.functions import arrays, dates, objects, registry, scalar, variants, vectors
 from nestfold.operators import aggregates, joins, sets, temporal, windows
-from nestfold.plans import querypack
-from nestfold.sources import extract, search
+from nestfold.plans import lineage, querypack
+from nestfold.sources import catalog, extract, readers, search
+from nestfold.streaming import cursors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -714,6 +716,138 @@ def markdown_functions(t):
     return t("pages").select("page_id", F.size(s).alias("n"), s[0]["title"].alias("t"), s[0]["body"].alias("b"), extract.md_links(text)[0]["url"].alias("url"), extract.md_code(text)[0]["lang"].alias("lang"))
 
 
+# --- more of the surface: sources and sinks, cursors, conversions ---------------------------------------
+
+
+def _folder(df: DataFrame) -> str:
+    return f"{lineage.shared_dir(df.sparkSession)}/nestfold-{uuid.uuid4().hex}"
+
+
+def _nation(t) -> DataFrame:
+    return t("nation").select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def roundtrip_jsonl(t):
+    path = _folder(df := _nation(t)) + ".jsonl"
+    catalog.insert_into(df, path)
+    return readers.read_jsonl(df.sparkSession, path).select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey < 5")
+def roundtrip_parquet_append(t):
+    path = _folder(df := _nation(t)) + ".parquet"
+    catalog.insert_into(df, path, "overwrite")
+    catalog.insert_into(df.filter("n_nationkey < 5"), path, "append")
+    return readers.read_parquet(df.sparkSession, path)
+
+
+@query("SELECT n_nationkey::DOUBLE AS k, n_name AS name, 'number' AS kind FROM nation")
+def roundtrip_csv_cells(t):
+    path = _folder(df := _nation(t)) + ".csv"
+    catalog.insert_into(df, path)
+    got = readers.read_csv(df.sparkSession, path, typed=True)
+    return got.select(variants.number(F.col("n_nationkey")).alias("k"), variants.string(F.col("n_name")).alias("name"), variants.kind(F.col("n_regionkey")).alias("kind"))
+
+
+@query("SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")
+def roundtrip_yaml(t):
+    path = _folder(df := _nation(t))
+    df.select(F.format_string("- k: %d\n  name: %s", "n_nationkey", "n_name")).write.text(path)
+    v = F.col("value")
+    return readers.read_yaml(df.sparkSession, path + "/part-*").select(F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.name", "string").alias("name"))
+
+
+@query("SELECT 'nations' AS title, count(*) AS n FROM nation")
+def roundtrip_toml(t):
+    path = _folder(df := _nation(t))
+    lines = df.agg(F.array_join(F.sort_array(F.collect_list("n_nationkey")).cast("array<string>"), ", ").alias("ks")).select(F.format_string("title = \"nations\"\nkeys = [%s]", "ks"))
+    lines.coalesce(1).write.text(path)
+    v = F.col("value")
+    return readers.read_toml(df.sparkSession, path + "/part-*").select(F.try_variant_get(v, "$.title", "string").alias("title"), F.size(F.try_variant_get(v, "$.keys", "array<int>")).cast("long").alias("n"))
+
+
+@query("SELECT event_id::VARCHAR AS user, 200 + (event_id % 5)::INT AS status, epoch_us(ts) // 1000000 * 1000 AS _ts FROM events")
+def extract_access_log(t):
+    e = t("events")
+    path = _folder(e)
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss")
+    e.select(F.format_string('1.2.3.4 - %d [%s +0000] "GET /x HTTP/1.1" %d 10', "event_id", stamp, (200 + F.col("event_id") % 5))).write.text(path)
+    return extract.extract(e.sparkSession, path, extract.APACHE_ACCESS).select("user", "status", "_ts")
+
+
+@query("SELECT coalesce(a.k, b.k) AS id, CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'delete' ELSE 'update' END AS op FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 7 > 0) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 13 > 0) b ON a.k = b.k WHERE a.s IS DISTINCT FROM b.s")
+def cursor_diff(t):
+    o = t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    return cursors.diff(o.filter("k % 7 > 0"), o.filter("k % 13 > 0").withColumn("s", F.when(F.col("k") % 11 == 0, "X").otherwise(F.col("s"))), "k")
+
+
+@query("SELECT event_id, event_type FROM events")
+def cursor_append(t):
+    e = t("events").select("event_id", "event_type")
+    src, out = _folder(e), _folder(e)
+    e.write.parquet(src)
+    cursor = cursors.AppendCursor(e.sparkSession, src, e.schema, _folder(e), "parquet")
+    cursor.advance(out)
+    return cursor.advance(out)
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def streaming_counts(t):
+    e = t("events").select("event_type", "event_id")
+    src, name = _folder(e), f"w{uuid.uuid4().hex}"
+    e.write.parquet(src)
+    stream = e.sparkSession.readStream.schema(e.schema).parquet(src).groupBy("event_type").agg(F.count("*").alias("n"))
+    stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _folder(e)).trigger(availableNow=True).start().awaitTermination()
+    return e.sparkSession.table(name)
+
+
+@query("""SELECT 'seen' AS label, '{"label":"big","n":' || count(*) || '}' AS result FROM orders WHERE o_totalprice > 150000""")
+def pack_compose(t):
+    first = querypack.QueryPack([querypack.PackQuery("big", "orders", "o_totalprice > 150000", ("o_orderkey",))])
+    second = querypack.QueryPack([querypack.PackQuery("seen", "", "", (), text="SELECT label, count(*) AS n FROM {first} GROUP BY label")])
+    o = t("orders")
+    return querypack.compose(o.sparkSession, {"first": (first, []), "second": (second, ["first"])}, {"orders": o})["second"]
+
+
+@query("SELECT doc_id, TRY_CAST(s AS DOUBLE) AS n, s <> '' AS b FROM (SELECT doc_id, substr(text, 1, 3) AS s FROM documents)")
+def fn_conversions(t):
+    s = F.col("s")
+    return t("documents").select("doc_id", F.substring("text", 1, 3).alias("s")).select("doc_id", scalar.to_number(s).alias("n"), scalar.to_boolean(s, "string").alias("b"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y/%m/%d') AS f, extract(month FROM ts)::BIGINT AS m, epoch_us(date_trunc('second', ts)) // 1000 AS ms FROM events")
+def fn_date_strings(t):
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return t("events").select("event_id", dates.date_format_str(text, "yyyy/MM/dd").alias("f"), dates.date_part_str(text, "month").alias("m"), dates.str_to_millis(text).alias("ms"))
+
+
+@query("SELECT p_partkey, (p_retailprice::DECIMAL(38, 10) + 0.10)::DECIMAL(38, 2)::VARCHAR AS a, (p_retailprice::DECIMAL(38, 10) - 0.10)::DECIMAL(38, 2)::VARCHAR AS s, CASE WHEN p_retailprice > 1000 THEN 1 WHEN p_retailprice < 1000 THEN -1 ELSE 0 END AS c FROM part")
+def fn_decimals(t):
+    df = t("part")
+    registry.register_all(df.sparkSession)
+    return df.sparkSession.sql("SELECT p_partkey, decimal_add(CAST(p_retailprice AS STRING), '0.10') AS a, decimal_sub(CAST(p_retailprice AS STRING), '0.10') AS s, decimal_cmp(CAST(p_retailprice AS STRING), '1000') AS c FROM {p}", p=df)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN '{"k":' || o_orderkey || ',"c":' || o_custkey || '}' ELSE '{"c":' || o_custkey || '}' END AS doc FROM orders""")
+def project_drops_missing(t):
+    k = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey"))
+    return t("orders").select("o_orderkey", F.to_json(F.struct(k.alias("k"), F.col("o_custkey").alias("c"))).alias("doc"))
+
+
+same("agg_letting", "SELECT o_custkey, total, total / n AS mean FROM (SELECT o_custkey, sum(o_orderkey) AS total, count(*) AS n FROM {orders} GROUP BY o_custkey) WHERE total > 100")
+same("subquery_correlated_count", "SELECT c_custkey, (SELECT count(*) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS n FROM {customer} c")
+
+
+@query("SELECT c AS \"column\", true AS ok FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus')) v(c)")
+def index_suggest(t):
+    o = t("orders")
+    exact = o.agg(*[F.count_distinct(c).alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus")])
+    found = catalog.suggest_indexes(o, ["o_orderkey", "o_custkey", "o_orderstatus"]).crossJoin(F.broadcast(exact))  # one row
+    true = F.when(F.col("column") == "o_orderkey", F.col("o_orderkey")).when(F.col("column") == "o_custkey", F.col("o_custkey")).otherwise(F.col("o_orderstatus"))
+    return found.select("column", (F.abs(F.col("distinct") - true) <= 0.15 * true).alias("ok"))
+
+
 # --- benchmark shapes and the flagship ---------------------------------------------------------------
 
 same("bench_count_filter", "SELECT count(*) AS n FROM {lineitem} WHERE l_quantity > 25")
