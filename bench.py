@@ -13,7 +13,7 @@ from nestfold.queries import QUERIES
 HEADLINE = (
     "flagship", "bench_count_filter", "scan_filter_project", "agg_q1", "bench_sort_limit", "bench_expr_heavy", "join_inner", "bench_join_group",
     "bench_unnest_count", "bench_unnest_filter_group", "bench_unnest_join_sort", "asof_backward_by", "asof_backward", "sessionize", "window_groups_frame",
-    "top_per_group", "pack_broadcast", "vector_top_k", "variant_fields", "search_bm25",
+    "top_per_group", "pack_broadcast", "vector_top_k", "variant_fields", "search_scan",
 )
 
 

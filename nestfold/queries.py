@@ -704,6 +704,11 @@ def search_bm25(t):
     return search.search(index, must=["the", "nter"]).select("id", F.round("score", 6).alias("score"))
 
 
+@query(ORACLE["search_bm25"])
+def search_scan(t):
+    return search.scan_search(t("documents").filter("lang = 'en'"), "doc_id", "text", ["the", "nter"]).select("id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a\\s')) AS links FROM pages")
 def extract_fields(t):
     return t("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit(r"<a\s")).cast("long").alias("links"))
