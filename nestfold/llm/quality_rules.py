@@ -112,7 +112,7 @@ RULES = (
     Rule("length", "word_chars", "n_words", (3, 8.5), (2.2, 13)),
     Rule("lines", "n_dup_lines", "n_lines", (0, 0.05), (0, 0.4), 3),
     Rule("repeats", "n_repeat_words", "n_words", (0, 0.05), (0, 0.2), 20),
-    Rule("alpha", "n_alpha_words", "n_words", (0.7, 1), (0.5, 1)),
+    Rule("alpha", "n_alpha_words", "n_words", (0.7, 1), (0.5, 1), 15),
     Rule("kinds", "n_kinds", "n_words", (0.25, 1), (0.12, 1), 50),
 )
 
