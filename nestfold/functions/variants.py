@@ -122,3 +122,50 @@ def within(v, depth: int = 6) -> Column:
         level = F.flatten(F.transform(level, inner))
         out = F.concat(out, F.transform(level, lambda x: F.to_json(x)))
     return out
+
+
+def type_name(v) -> Column:
+    return kind(v)
+
+
+def is_array(v) -> Column:
+    return F.when(is_valued(v), kind(v) == "array")
+
+
+def is_number(v) -> Column:
+    return F.when(is_valued(v), kind(v) == "number")
+
+
+def is_string(v) -> Column:
+    return F.when(is_valued(v), kind(v) == "string")
+
+
+def is_boolean(v) -> Column:
+    return F.when(is_valued(v), kind(v) == "boolean")
+
+
+def is_object(v) -> Column:
+    return F.when(is_valued(v), kind(v) == "object")
+
+
+def is_atom(v) -> Column:
+    return F.when(is_valued(v), kind(v).isin("boolean", "number", "string"))
+
+
+def as_map(v) -> Column:
+    return F.try_variant_get(_c(v), "$", "map<string,variant>")
+
+
+def as_array(v) -> Column:
+    return F.try_variant_get(_c(v), "$", "array<variant>")
+
+
+def poly_length(v) -> Column:
+    """Bytes of a string, elements of an array, fields of an object; NULL of anything else."""
+    k = kind(v)
+    return F.when(k == "string", F.octet_length(string(v))).when(k == "array", F.size(as_array(v))).when(k == "object", F.size(as_map(v)))
+
+
+def construct(**fields: Column) -> Column:
+    """An object of named values; MISSING (null) ones are left out."""
+    return F.parse_json(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])))

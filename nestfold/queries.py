@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nestfold import session
 from nestfold.functions import arrays, dates, objects, registry, scalar, variants, vectors
 from nestfold.operators import aggregates, joins, sets, temporal, windows
 from nestfold.plans import lineage, querypack
@@ -853,6 +854,67 @@ def index_suggest(t):
     return found.select("column", (F.abs(F.col("distinct") - true) <= 0.15 * true).alias("ok"))
 
 
+# --- the rest of the catalog -------------------------------------------------------------------------
+
+
+@query("SELECT o.o_orderkey, coalesce(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey), '') AS found FROM orders o LEFT JOIN customer ON c_custkey IN (o_custkey, -1) AND o_orderstatus = 'F' GROUP BY o.o_orderkey")
+def nest_on_keys_left(t):
+    keys = F.when(F.col("o_orderstatus") == "F", F.array(F.col("o_custkey"), F.lit(-1).cast("long")))
+    n = joins.nest_on_keys(t("orders"), keys, t("customer").select("c_custkey"), "c_custkey", "cs", "o_orderkey", "left")
+    return n.select("o_orderkey", F.array_join(F.transform("cs", lambda e: e["c_custkey"].cast("string")), ",").alias("found"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def fetch_by_keys(t):
+    keys = t("orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return t("customer").join(keys, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus")
+def temp_keyspace(t):
+    o = t("orders")
+    o.createOrReplaceTempView("nestfold_orders")
+    engine = session.Engine(o.sparkSession)
+    engine.sql("CREATE OR REPLACE TEMP KEYSPACE nestfold_big AS SELECT * FROM nestfold_orders WHERE o_totalprice > :least", {"least": 100000})
+    return engine.sql("SELECT o_orderstatus, count(*) AS n FROM nestfold_big GROUP BY o_orderstatus")
+
+
+@query("SELECT source, count(DISTINCT TRY_CAST(substr(text, 1, 2) AS DOUBLE)) AS n FROM documents GROUP BY source")
+def agg_countn_distinct(t):
+    return t("documents").groupBy("source").agg(F.count_distinct(F.substring("text", 1, 2).try_cast("double")).alias("n"))
+
+
+@query("""SELECT p_partkey, ltrim('  ' || p_name) AS lt, rtrim(p_name || '  ') AS rt, ltrim(p_name, 'pb') AS lc, rtrim(p_name, 'er0') AS rc, lpad(p_brand, 12, ' ') AS lp, rpad(p_brand, 12, ' ') AS rp,
+  array_to_string(list_filter(regexp_split_to_array(p_type, '\\s+'), lambda x: x <> ''), '/') AS sp, substr(p_name, 2, 3) AS s1, substr(p_name, 3) AS s2 FROM part""")
+def fn_strings_more(t):
+    n, b = F.col("p_name"), F.col("p_brand")
+    made = {"lt": F.ltrim(F.concat(F.lit("  "), n)), "rt": F.rtrim(F.concat(n, F.lit("  "))), "lc": F.ltrim(n, F.lit("pb")), "rc": F.rtrim(n, F.lit("er0")), "lp": F.lpad(b, 12, " "), "rp": F.rpad(b, 12, " "),
+        "sp": F.array_join(scalar.split(F.col("p_type")), "/"), "s1": scalar.substr1(n, 2, 3), "s2": scalar.substr0(n, 2)}
+    return t("part").select("p_partkey", *[v.alias(k) for k, v in made.items()])
+
+
+@query("""SELECT event_id, 'object' AS ty, 1 AS pl, 'k' AS names, true AS num, false AS arr, true AS atom, props AS canon FROM (SELECT event_id, json(props)::VARCHAR AS props FROM events)""")
+def variant_types(t):
+    v = variants.parse(F.col("props"))
+    k = variants.field(v, "$.k")
+    made = {"ty": variants.type_name(v), "pl": variants.poly_length(v), "names": F.array_join(objects.names(variants.as_map(v)), ","), "num": variants.is_number(k), "arr": variants.is_array(k), "atom": variants.is_atom(k), "canon": variants.canonical(v)}
+    return t("events").select("event_id", *[c.alias(n) for n, c in made.items()])
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '{"k":' || n_nationkey || ',"name":"' || n_name || '"}' ELSE '{"name":"' || n_name || '"}' END AS doc FROM nation""")
+def variant_construct(t):
+    made = variants.construct(name=F.col("n_name"), k=F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey")))
+    return t("nation").select("n_nationkey", variants.canonical(made).alias("doc"))
+
+
+@query("SELECT val_type, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'number' WHEN event_id % 3 = 1 THEN 'string' ELSE 'null' END AS val_type FROM events) GROUP BY val_type")
+def variant_group(t):
+    """Values of mixed types grouped by their canonical text, then counted by type."""
+    text = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).when(F.col("event_id") % 3 == 1, F.lit('"s"')).otherwise(F.lit("null"))
+    v = variants.parse(text)
+    return t("events").groupBy(variants.kind(v).alias("val_type"), variants.canonical(v).alias("c")).agg(F.count("*").alias("m")).groupBy("val_type").agg(F.sum("m").alias("n"))
+
+
 # --- benchmark shapes and the flagship ---------------------------------------------------------------
 
 same("bench_count_filter", "SELECT count(*) AS n FROM {lineitem} WHERE l_quantity > 25")
