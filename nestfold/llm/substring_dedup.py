@@ -28,19 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import ascending, blocks, bucket_edges, deltas, mix, pack, unpack
+from .blobs import ascending, blocks, bucket_edges, deltas, give_back, mix, pack, unpack
 from .common import bound_batches, materialize, parts_for
 
 SPAN = 100
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text whose runs meet in one bucket, on average.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 _CHUNK = 1 << 17
 _LOW = np.uint64((1 << 18) - 1)
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = [np.uint64(int(x) | 1) for x in mix(np.arange(1000, 1012, dtype=np.uint64))]
 #: Windows that one radix sort holds, unless one anchor has more.
-_SORT = 1_500_000
+_SORT = 500_000
 
 
 def gram_size(span: int) -> int:
@@ -64,8 +64,8 @@ def anchors(buf: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarr
     """For each window start the position of its anchor, and for each position its gram's hash."""
     n, width = len(buf) - span + 1, span - gram + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at, grams = np.empty(n, np.int64), np.empty(len(buf) - gram + 1, np.uint64)
+        return np.empty(0, np.int32), np.empty(0, np.uint64)
+    at, grams = np.empty(n, np.int64 if n > 1 << 30 else np.int32), np.empty(len(buf) - gram + 1, np.uint64)
     for s in range(0, n, _CHUNK):
         e = min(n, s + _CHUNK)
         h = gram_hashes(buf[s : e + span - 1], gram)
@@ -108,10 +108,11 @@ class Runs:
         last = valid.copy()
         last[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
         self.lo, self.hi = np.flatnonzero(new), np.flatnonzero(last)
-        self.anchor = at[self.lo]
-        self.key = grams[self.anchor]
+        self.anchor = at[self.lo].astype(np.int64)
+        self.key = mix(grams[self.anchor] ^ _ODD[7])  # anchors have small hashes; these are even again
         places = [*range(0, span - gram, gram), span - gram]
         kind = ((self.hi - self.lo) * 4096 + self.anchor - self.lo).astype(np.uint64)
+        del at, valid, new, last
         for edge in (self.lo, self.hi):
             for p in places:
                 kind = mix(kind * _ODD[6] + grams[edge + p])
@@ -244,9 +245,12 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
                 order, first = distinct(runs)
                 mine, of = order[first], numbers(ids.as_py())
                 key = runs.key[mine]
+                kind, doc = runs.kind[mine], of[runs.doc[mine]]
+                del runs, order, first, mine
                 edges = bucket_edges(key, buckets)
-                blobs = [pack(deltas(key[a:b]), runs.kind[mine[a:b]], of[runs.doc[mine[a:b]]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                blobs = [pack(deltas(key[a:b]), kind[a:b], doc[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([block.as_py()] * buckets), pa.array(blobs, pa.binary())], ["bucket", "block", "body"])
+                give_back()
 
     def sort_runs(part: pd.DataFrame) -> pd.DataFrame:
         """States of each block's runs: 1 equals an earlier one, 2 first of its kind with an anchor of several kinds."""
@@ -267,12 +271,14 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
             state[new & np.repeat(several, np.diff(np.append(starts, len(k))))] = 2
         back = np.empty_like(state)
         back[order] = state
+        del k, d, order, new, new_key, key, kind, doc
         out, at = [], 0
         for size in sizes:
             mine = back[at : at + size]
             where = np.flatnonzero(mine)
             out.append(pack(deltas(where.astype(np.int32)), mine[where]))
             at += size
+        give_back()
         return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "body": out})
 
     columns = "block long, bucket int, body binary"
@@ -311,6 +317,8 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
         out = pd.DataFrame(rows, columns=["sort", "block", "bucket", "body", "_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
         for c in ("bucket", "_id", "n_bytes", "n_removed", "n_spans"):
             out[c] = out[c].astype("Int64")
+        del runs, texts
+        give_back()
         return out
 
     judged = materialize(table.select("block", "ids", "body").groupBy("block").cogroup(sorted_runs.groupBy("block")).applyInPandas(judge, "sort int, block long, bucket int, body binary, " + _RESULT))
