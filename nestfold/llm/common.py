@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nestfold.plans.lineage import materialize  # noqa: F401  (used by the operators)
 
 #: Arrow batches to Python workers stay under this many bytes, whatever the length of texts.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 
 #: A table is broadcast only when it was counted and found to be at most this large.
 BROADCAST_BYTES = 16 << 20

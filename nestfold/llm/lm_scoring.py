@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .blobs import ascending, blocks, bucket_edges, deltas, mix, pack, unpack
+from .blobs import ascending, blocks, bucket_edges, deltas, give_back, mix, pack, unpack
 from .common import bound_batches, materialize, parts_for
 
 BLOCK_BYTES = 8 << 20
@@ -139,6 +139,8 @@ def lm_scores(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str
                 edges = bucket_edges(found, buckets)
                 blobs = [pack(deltas(found[a:b]), counts[a:b].astype(np.int32)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([block.as_py()] * buckets), pa.array(blobs, pa.binary())], ["bucket", "block", "body"])
+                del found, places, counts
+                give_back()
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("block", ignore_index=True)
@@ -160,6 +162,8 @@ def lm_scores(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str
             where = np.flatnonzero(mine)
             out.append(pack(deltas(where.astype(np.int32)), mine[where]))
             at += size
+        del keys, own, order_, ranked, more
+        give_back()
         return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "more": out})
 
     grams = table.select("block", "body").mapInArrow(explode, "bucket int, block long, body binary")
