@@ -373,18 +373,18 @@ def merge_late_rows(t):
 # --- windows -----------------------------------------------------------------------------------------
 
 _W = "(PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)"
-same("window_ranks", f"SELECT o_orderkey, row_number() OVER {_W} AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS d, ntile(4) OVER {_W} AS q FROM {{orders}}")
+same("window_ranks", f"SELECT o_orderkey, CAST(row_number() OVER {_W} AS BIGINT) AS rn, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS BIGINT) AS d, CAST(ntile(4) OVER {_W} AS BIGINT) AS q FROM {{orders}}")
 same("window_percent", "SELECT o_orderkey, round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority), 9) AS p, round(cume_dist() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority), 9) AS c FROM {orders}")
 same("window_values", f"SELECT o_orderkey, first_value(o_orderkey) OVER {_W} AS f, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, nth_value(o_orderkey, 2) OVER {_W} AS n FROM {{orders}}")
 same("window_lag_lead", f"SELECT o_orderkey, lag(o_orderkey, 1, -1) OVER {_W} AS p, lead(o_orderkey, 2) OVER {_W} AS n FROM {{orders}}")
 same("window_rows_frame", "SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS s, count(*) OVER w AS n, min(o_totalprice) OVER w AS lo, max(o_totalprice) OVER w AS hi FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
 same("window_range_frame", "SELECT p_partkey, count(*) OVER w AS n, round(avg(p_retailprice) OVER w, 6) AS a FROM {part} WINDOW w AS (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING)")
 same("window_default_frames", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS upto, count(*) OVER (PARTITION BY o_custkey) AS every FROM {orders}")
-same("window_over_group", "SELECT o_custkey, n, rank() OVER (ORDER BY n DESC, o_custkey) AS r FROM (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey)")
+same("window_over_group", "SELECT o_custkey, n, CAST(rank() OVER (ORDER BY n DESC, o_custkey) AS BIGINT) AS r FROM (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey)")
 same("window_ignore_nulls", "SELECT o_orderkey, last_value(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) IGNORE NULLS OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM {orders}", "SELECT o_orderkey, last_value(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM orders")
 
 
-@query("SELECT p_partkey, sum(p_size) OVER w AS s, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
+@query("SELECT p_partkey, (sum(p_size) OVER w)::BIGINT AS s, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
 def window_groups_frame(t):
     return windows.groups_frame(t("part"), ["p_brand"], ["p_size"], 2, 1, s=F.sum("p_size"), n=F.count(F.lit(1))).select("p_partkey", "s", "n")
 
@@ -841,7 +841,7 @@ def project_drops_missing(t):
     return t("orders").select("o_orderkey", F.to_json(F.struct(k.alias("k"), F.col("o_custkey").alias("c"))).alias("doc"))
 
 
-same("agg_letting", "SELECT o_custkey, total, total / n AS mean FROM (SELECT o_custkey, sum(o_orderkey) AS total, count(*) AS n FROM {orders} GROUP BY o_custkey) WHERE total > 100")
+same("agg_letting", "SELECT o_custkey, total, total / n AS mean FROM (SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS total, count(*) AS n FROM {orders} GROUP BY o_custkey) WHERE total > 100")
 same("subquery_correlated_count", "SELECT c_custkey, (SELECT count(*) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS n FROM {customer} c")
 
 
