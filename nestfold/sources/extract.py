@@ -25,16 +25,23 @@ class ExtractSpec:
 
 
 def framed(spark: SparkSession, path: str, spec: ExtractSpec) -> DataFrame:
-    """file, n (record number) and record."""
+    """file, n (ascending in a file; gapless for multiline and section framing) and record.
+
+    Lines are numbered where they are read. Records of several lines are counted within each
+    split and the counts of splits added up, so that a large file is not one task's work.
+    """
     if spec.framing == "whole":
         return spark.read.text(path, wholetext=True).selectExpr("_metadata.file_name as file", "0L as n", "value as record")
-    lines = spark.read.text(path).selectExpr("_metadata.file_name as file", "_metadata.file_block_start as part", "monotonically_increasing_id() as at", "value as line")
+    lines = spark.read.text(path).selectExpr("_metadata.file_name as file", "monotonically_increasing_id() as at", "value as line")
     if spec.framing in ("line", "json"):
-        w = Window.partitionBy("file").orderBy("part", "at")
-        return lines.select("file", (F.row_number().over(w) - 1).cast("long").alias("n"), F.col("line").alias("record"))
-    w = Window.partitionBy("file").orderBy("part", "at").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("n", F.sum(F.col("line").rlike(spec.start).cast("long")).over(w)).filter("n > 0")
-    joined = numbered.groupBy("file", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "line"))), lambda e: e["line"]), "\n").alias("record"))
+        return lines.select("file", F.col("at").alias("n"), F.col("line").alias("record"))
+    marked = lines.withColumn("split", F.shiftright("at", 33)).withColumn("new", F.col("line").rlike(spec.start).cast("long"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy("file", "split").agg(F.sum("new").alias("c"))
+    counts = counts.select("file", "split", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("off"))
+    own = F.sum("new").over(Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = marked.withColumn("own", own).join(counts, ["file", "split"]).withColumn("n", F.col("own") + F.col("off")).filter("n > 0")
+    joined = numbered.groupBy("file", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda e: e["line"]), "\n").alias("record"))
     return joined.select("file", (F.col("n") - 1).alias("n"), "record")
 
 
