@@ -334,9 +334,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", widt
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.unhex(F.sha2(body, 256)).alias("_key"))
     first = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id")))
     stay = first.groupBy("class_id").agg(F.min("_key").alias("_stay"), F.count(F.lit(1)).alias("_n"))
-    stay = materialize(stay.select(F.col("class_id").alias("_c"), "_stay", "_n"))
-    small = maybe_broadcast(stay, stay.count(), 90)
-    kept = rows.join(small, (F.col("_key") == F.col("_stay")) & F.col("_id").eqNullSafe(F.col("_c")))
-    once = kept.filter("_n = 1").select("_row")
-    again = kept.filter("_n > 1").dropDuplicates(["_key", "_id"]).select("_row")
-    return once.unionByName(again).select("_row.*")
+    stay = stay.select(F.col("class_id").alias("_c"), "_stay", "_n")
+    # What goes is far less than what stays, and so the side to send to the texts.
+    other = ~(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("_key") == F.col("_stay")))
+    gone = classes.join(stay, F.col("class_id").eqNullSafe(F.col("_c"))).filter(other)
+    gone = materialize(gone.select(F.col(id_col).alias("_gone"), F.col("_key").alias("_gone_key")).distinct())
+    small = maybe_broadcast(gone, gone.count(), 90)
+    kept = rows.join(small, (F.col("_key") == F.col("_gone_key")) & F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    same = materialize(stay.filter("_n > 1").select("_c", F.col("_stay").alias("_again")))
+    n = same.count()
+    if n:  # one of the rows that share id and text stays
+        pair = (F.col("_key") == F.col("_again")) & F.col("_id").eqNullSafe(F.col("_c"))
+        same = maybe_broadcast(same, n, 90)
+        kept = kept.join(same, pair, "left_anti").unionByName(kept.join(same, pair, "left_semi").dropDuplicates(["_key", "_id"]))
+    return kept.select("_row.*")
