@@ -73,7 +73,8 @@ def _grouped(others: DataFrame, id_col: str, block_bytes: int) -> DataFrame:
     named = others.select("_rid", F.col(f"_row.{id_col}").alias("_id")).join(block_names(others.select("_rid", "_text"), block_bytes), "_rid")
     named = materialize(named)
     best = named.groupBy("_level", "_name").agg(F.max(F.struct("_id", "_rid")).alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(best, ["_level", "_name"]).select("_rid", "_id", F.col("_best._id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("_best._rid")).alias("kept"))
+    best = materialize(best)
+    return named.join(maybe_broadcast(best, best.count(), 60), ["_level", "_name"]).select("_rid", "_id", F.col("_best._id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("_best._rid")).alias("kept"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
