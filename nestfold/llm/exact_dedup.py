@@ -34,8 +34,12 @@ def _split(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Sort distinct keys into integer names; materialized, so that a name never changes."""
-    return materialize(distinct.orderBy(*keys).withColumn("_name", F.monotonically_increasing_id()))
+    """Sort distinct keys into integer names; materialized, so that a name never changes.
+
+    A name is a key's partition and its place in the partition's order. To sort all partitions
+    against each other would sample keys, which are whole blocks, to the driver.
+    """
+    return materialize(distinct.sortWithinPartitions(*keys).withColumn("_name", F.monotonically_increasing_id()))
 
 
 def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
