@@ -5,7 +5,8 @@ shingles, so texts of much common content have fingerprints of small Hamming dis
 close fingerprints without comparing all: a filter draws a strip of coordinates and a random
 centre and lets through what is near the centre on the strip; close fingerprints tend to pass
 together. Filters follow each other on further strips until lists are small, lists are compared
-by brute force, and there are as many filters as the target recall takes.
+by brute force, and there are as many filters as the target recall takes. A list that is long all
+the same is cut into blocks, and a task compares two of them, so that no pair of a list is left out.
 
 What lists find are candidates. A candidate component's documents are compared exactly with its
 leader; those that are not near it are compared with all of the component, in blocks. So
@@ -30,7 +31,7 @@ from .components import components
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
 BITS, STRIP, NEAR = 128, 16, 3
-#: Random fingerprints that a list holds on average, at most; a chunk that is compared at once.
+#: Random fingerprints that a list holds on average, at most; rows of a block of a longer list.
 LIST, CHUNK = 3000, 4096
 _STEP = [np.uint64(int(x) | 1) for x in mix(np.arange(77, 77 + 64, dtype=np.uint64))]
 _ONES = np.array([bin(v).count("1") for v in range(1 << STRIP)], np.uint8)
@@ -121,17 +122,21 @@ def depth_for(n: int, similarity: float) -> int:
     return min(BITS // STRIP, max(1, math.ceil(math.log(max(n, 1) / LIST) / -math.log(one))))
 
 
-def close_groups(lo: np.ndarray, hi: np.ndarray, most: int) -> np.ndarray:
-    """For each fingerprint the first index of its group, groups linked by distances up to `most`."""
+def close_groups(lo: np.ndarray, hi: np.ndarray, most: int, cut: int = 0) -> np.ndarray:
+    """For each fingerprint the first index of its group, groups linked by distances up to `most`.
+
+    With a cut, only fingerprints before it are compared with those from it on.
+    """
     n = len(lo)
     lo, hi = lo.view(np.uint64), hi.view(np.uint64)  # bits of a negative number are counted without its sign
     label = np.arange(n)
-    for s in range(0, n, 256):
-        e = min(n, s + 256)
-        far = np.bitwise_count(lo[s:e, None] ^ lo[None, s:]) + np.bitwise_count(hi[s:e, None] ^ hi[None, s:])
+    for s in range(0, cut or n, 256):
+        e, o = min(cut or n, s + 256), cut or s
+        far = np.bitwise_count(lo[s:e, None] ^ lo[None, o:]) + np.bitwise_count(hi[s:e, None] ^ hi[None, o:])
         i, j = np.nonzero(far <= most)
+        i, j = i + s, j + o
         later = j > i
-        i, j = i[later] + s, j[later] + s
+        i, j = i[later], j[later]
         if not len(i):
             continue
         cuts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
@@ -200,52 +205,70 @@ def _printed(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
 
 
 def candidates(reps: DataFrame, n: int, similarity: float, recall: float) -> DataFrame:
-    """Edges (a, b) that connect what any list holds within the distance; a forest of stars a chunk."""
+    """Edges (a, b) that connect what any list holds within the distance; a forest of stars a task.
+
+    A list of more than CHUNK rows is dealt to g = rows / CHUNK blocks by a hash; each two blocks
+    are a task and each row goes to g tasks, so that every pair of the list meets in one.
+    """
     depth, most = depth_for(n, similarity), most_distance(similarity)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         filters = Filters(depth, similarity, recall)
         for batch in batches:
             for s in range(0, batch.num_rows, 4096):
                 node, lo, hi = (np.asarray(batch.column(k).slice(s, 4096)) for k in range(3))
                 for row, path in filters.lists(lo, hi):
-                    at = (path ^ node[row].view(np.uint64)) * _STEP[5]
-                    columns = [path.view(np.int64), mix(at).view(np.int64), node[row], lo[row], hi[row]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "at", "node", "lo", "hi"])
+                    yield row, path, node, lo, hi
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, path, *_ in paths(batches):
+            values, counts = np.unique(path.view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts, pa.int64())], ["list", "rows"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, path, node, lo, hi in paths(batches):
+            at = mix((path ^ node[row].view(np.uint64)) * _STEP[5])
+            columns = [path.view(np.int64), at.view(np.int64), node[row], lo[row], hi[row]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["list", "at", "node", "lo", "hi"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows = 0
 
         def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            path, _, node, lo, hi = columns
-            cuts = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(path)), strict=True):
-                for s in range(a, b, CHUNK):
-                    e = min(b, s + CHUNK)
-                    if e - s > 1:
-                        label = close_groups(lo[s:e], hi[s:e], most)
-                        far = np.flatnonzero(label != np.arange(e - s))
-                        if len(far):
-                            yield pa.RecordBatch.from_arrays([pa.array(node[s:e][far]), pa.array(node[s:e][label[far]])], ["a", "b"])
+            task, upper, node, lo, hi = columns
+            cuts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+            for s, e in zip(cuts, np.append(cuts[1:], len(task)), strict=True):
+                m = int(np.searchsorted(upper[s:e], 1))
+                if e - s < 2 or m == 0:
+                    continue
+                label = close_groups(lo[s:e], hi[s:e], most, m if m < e - s else 0)
+                far = np.flatnonzero(label != np.arange(e - s))
+                if len(far):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[s:e][far]), pa.array(node[s:e][label[far]])], ["a", "b"])
 
         for batch in batches:
-            columns = [np.asarray(c) for c in batch.columns]
-            held.append(columns)
+            held.append([np.asarray(c) for c in batch.columns])
             rows += batch.num_rows
             if rows < 4 * CHUNK:
                 continue
             joined = [np.concatenate(c) for c in zip(*held, strict=True)]
-            path = joined[0]
-            last = int(np.flatnonzero(np.append(True, path[1:] != path[:-1]))[-1])
-            last += (rows - last - 1) // CHUNK * CHUNK  # whole chunks of the list that goes on
+            last = int(np.flatnonzero(np.append(True, joined[0][1:] != joined[0][:-1]))[-1])  # the task that goes on
             yield from found([c[:last] for c in joined])
             held, rows = [[c[last:] for c in joined]], rows - last
         if rows:
             yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    entries = reps.select("_node", "_lo", "_hi").mapInArrow(deal, "list long, at long, node long, lo long, hi long")
-    return entries.repartition("list").sortWithinPartitions("list", "at").mapInArrow(compare, "a long, b long")
+    prints = reps.select("_node", "_lo", "_hi")
+    entries = prints.mapInArrow(deal, "list long, at long, node long, lo long, hi long")
+    long = prints.mapInArrow(lengths, "list long, rows long").groupBy("list").agg(F.sum("rows").alias("rows")).filter(F.col("rows") > CHUNK)
+    long = materialize(long.select("list", F.ceil(F.col("rows") / CHUNK).cast("int").alias("g")))
+    blocks = maybe_broadcast(long, long.count(), 24)
+    dealt = entries.join(blocks, "list", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    dealt = dealt.withColumn("y", F.pmod("at", F.col("g").cast("long")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    task = F.when(F.col("g") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least("x", "y"), F.greatest("x", "y")))
+    dealt = dealt.select(task.alias("task"), (F.col("y") > F.col("x")).cast("long").alias("upper"), "node", "lo", "hi")
+    return dealt.repartition("task").sortWithinPartitions("task", "upper").mapInArrow(compare, "a long, b long")
 
 
 def _verified(docs: DataFrame, reps: DataFrame, cand: DataFrame, id_col: str, text: str, width: int, least: float) -> DataFrame:

@@ -304,6 +304,35 @@ def test_filters_reach_their_recall():
         assert np.mean([bool(x & y) for x, y in zip(*met, strict=True)]) > 0.95
 
 
+def _grouped(n, edges):
+    label = list(range(n))
+    for a, b in edges:
+        if label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    return label
+
+
+def test_long_lists_are_compared_whole(spark, monkeypatch):
+    """Lists of many blocks find each close pair that they hold, as lists of one block do."""
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, 128, np.uint8)
+    bits = np.repeat(base[None, :] ^ (rng.random((200, 128)) < 0.22), 2, axis=0).astype(np.uint8)
+    bits[1::2] ^= (rng.random((200, 128)) < simhash.bit_difference(0.8)).astype(np.uint8)
+    both = np.packbits(bits, axis=1).view(np.int64)
+    lists = defaultdict(set)
+    for row, path in simhash.Filters(1, 0.8, 0.999).lists(both[:, 0].copy(), both[:, 1].copy()):
+        for r, p in zip(row.tolist(), path.tolist(), strict=True):
+            lists[p].add(r)
+    assert max(map(len, lists.values())) > 5 * 8
+    far = (bits[:, None] != bits[None]).sum(2)
+    close = {(a, b) for rows in lists.values() for a in rows for b in rows if a < b and far[a, b] <= simhash.most_distance(0.8)}
+    reps = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(both)], "_node long, _lo long, _hi long")
+    got = [(r["a"], r["b"]) for r in simhash.candidates(reps, 400, 0.8, 0.999).collect()]
+    assert _grouped(400, got) == _grouped(400, close)
+
+
 def test_large_group_in_blocks(spark):
     """Near copies of one text that are not all near the leader: all of them are still one class."""
     rng = random.Random(9)
