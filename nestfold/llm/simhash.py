@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -68,10 +69,15 @@ def bit_difference(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def most_distance(similarity: float) -> int:
-    """Hamming distance under which all but about one in 500 such pairs are."""
+def distances(similarity: float) -> np.ndarray:
+    """Chance of each Hamming distance of such pairs."""
     d = bit_difference(similarity)
-    return round(BITS * d + 2.9 * math.sqrt(BITS * d * (1 - d)))
+    return np.array([math.comb(BITS, k) * d**k * (1 - d) ** (BITS - k) for k in range(BITS + 1)])
+
+
+def most_distance(similarity: float, recall: float = RECALL) -> int:
+    """Hamming distance beyond which are at most half of the pairs that may be missed."""
+    return int(np.flatnonzero(1 - np.cumsum(distances(similarity)) <= (1 - recall) / 2)[0])
 
 
 def pass_chances(similarity: float) -> tuple[float, float]:
@@ -85,17 +91,52 @@ def pass_chances(similarity: float) -> tuple[float, float]:
     return one, both
 
 
+def strip_chances() -> np.ndarray:
+    """Chance that both of two fingerprints pass a random filter, by their distance on its strip."""
+    out = np.zeros(STRIP + 1)
+    for k in range(STRIP + 1):
+        for u in range(k + 1):  # of the k bits that differ, u are unlike the centre in the first and k - u in the other
+            out[k] += math.comb(k, u) * sum(math.comb(STRIP - k, v) for v in range(NEAR - max(u, k - u) + 1))
+    return out / 2**STRIP
+
+
+@cache
+def filter_counts(depth: int, similarity: float, recall: float) -> tuple[int, int, int]:
+    """Trees, centres a strip and later centres a strip, so that all levels together reach the recall.
+
+    The miss chance is a mean over distances, of which those beyond the cutoff are missed, and
+    over how a distance falls on the strips. Later centres are shared by the lists of a strip, and
+    so count once a strip of a tree. Half a pass of later
+    centres on average takes few lists and not too many trees.
+    """
+    if not 0 < recall < 1:
+        raise ValueError("recall must be between 0 and 1")
+    strips, both = BITS // STRIP, strip_chances()
+    weight = distances(similarity)[: most_distance(similarity, recall) + 1]
+    rng = np.random.default_rng(1)
+    falls = np.stack([rng.multivariate_hypergeometric([STRIP] * strips, k, size=2000) for k in range(len(weight))])
+    later = math.ceil(0.5 / pass_chances(similarity)[1])
+    after = np.ones(falls.shape)
+    for level in range(1, depth):
+        after *= np.roll(1 - (1 - both[falls]) ** later, -level, axis=2)
+
+    def missed(trees: int, centres: int) -> float:
+        tree = (1 - (1 - (1 - both[falls]) ** centres) * after).prod(2).mean(1)
+        return float(weight @ tree**trees + 1 - weight.sum())
+
+    trees = 1
+    while missed(trees, 64) > 1 - recall:
+        trees += 1
+    return trees, next(c for c in range(1, 65) if missed(trees, c) <= 1 - recall), later
+
+
 class Filters:
     """Filter paths: a strip and centre of a tree, then centres on that tree's following strips."""
 
     def __init__(self, depth: int, similarity: float, recall: float, seed: int = 7):
-        one, both = pass_chances(similarity)
         strips = BITS // STRIP
         self.depth = depth
-        first = math.log(1 / (1 - recall)) / both
-        self.trees = max(1, math.ceil(first / (strips * 64)))
-        self.centres = math.ceil(first / (strips * self.trees))
-        self.later = math.ceil(2.5 / both)
+        self.trees, self.centres, self.later = filter_counts(depth, similarity, recall)
         rng = np.random.default_rng(seed)
         self.orders = [rng.permutation(BITS) for _ in range(self.trees)]
         self.first = rng.integers(0, 1 << STRIP, (self.trees, strips, self.centres), np.uint16)
@@ -210,7 +251,7 @@ def candidates(reps: DataFrame, n: int, similarity: float, recall: float) -> Dat
     A list of more than CHUNK rows is dealt to g = rows / CHUNK blocks by a hash; each two blocks
     are a task and each row goes to g tasks, so that every pair of the list meets in one.
     """
-    depth, most = depth_for(n, similarity), most_distance(similarity)
+    depth, most = depth_for(n, similarity), most_distance(similarity, recall)
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         filters = Filters(depth, similarity, recall)

@@ -304,6 +304,30 @@ def test_filters_reach_their_recall():
         assert np.mean([bool(x & y) for x, y in zip(*met, strict=True)]) > 0.95
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_recall_at_the_threshold(depth):
+    """Pairs of similarity 0.8 meet in a list and are within the distance, at every depth."""
+    rng = np.random.default_rng(11)
+    n = 4000
+    bits = rng.integers(0, 2, (n, 128), np.uint8)
+    other = bits ^ (rng.random((n, 128)) < simhash.bit_difference(0.8)).astype(np.uint8)
+    filters = simhash.Filters(depth, 0.8, simhash.RECALL)
+    within = (bits != other).sum(1) <= simhash.most_distance(0.8)
+    left = np.flatnonzero(within)
+    for t, order in enumerate(filters.orders):
+        a, b = (np.ascontiguousarray(np.packbits(x[left][:, order], axis=1)).view(np.uint16) for x in (bits, other))
+        passes = lambda at, c, k=slice(None): ((simhash._ONES[a[k, at, None] ^ c] <= simhash.NEAR) & (simhash._ONES[b[k, at, None] ^ c] <= simhash.NEAR)).any(1)
+        met = np.zeros(len(left), bool)
+        for s in range(8):
+            k = np.flatnonzero(passes(s, filters.first[t, s]))
+            for level in range(1, depth):
+                at = (s + level) % 8
+                k = k[passes(at, filters.next[level, t, at], k)]
+            met[k] = True
+        left = left[~met]
+    assert 1 - (len(left) + (~within).sum()) / n >= 0.9975
+
+
 def _grouped(n, edges):
     label = list(range(n))
     for a, b in edges:
