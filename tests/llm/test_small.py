@@ -1,6 +1,7 @@
 """Operators against brute force on small inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nestfold.llm import blobs, components, exact_dedup, mixing, packing, pii, quality_rules, sharding, simhash, substring_dedup, token_counts
+from nestfold.llm import blobs, common, components, exact_dedup, mixing, packing, pii, quality_rules, sharding, simhash, substring_dedup, token_counts
 from nestfold.llm.queries import VOCABULARY
 
 from .conftest import make, prose
@@ -263,16 +264,7 @@ def test_names_tell_texts_apart(spark):
 # --- SimHash
 
 
-def test_near_classes_are_exact(spark):
-    rng = random.Random(8)
-    rows = []
-    for k in range(40):
-        base = prose(rng, rng.randrange(3, 150)).split(" ")
-        for j in range(rng.randrange(1, 8)):
-            words = list(base)
-            for _ in range(rng.randrange(4)):
-                words[rng.randrange(len(words))] = f"new{rng.random()}"
-            rows.append((k * 10 + j, " ".join(words), "s"))
+def _brute_classes(rows):
     sets = {i: (lambda w: {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))})(t.split(" ")) for i, t, _ in rows}
     label = {i: i for i in sets}
     changed = True
@@ -283,49 +275,80 @@ def test_near_classes_are_exact(spark):
             low = min(label[a], label[b])
             changed |= label[a] != low or label[b] != low
             label[a] = label[b] = low
+    return label
+
+
+def test_near_classes_are_exact(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        base = prose(rng, rng.randrange(3, 150)).split(" ")
+        for j in range(rng.randrange(1, 8)):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"new{rng.random()}"
+            rows.append((k * 10 + j, " ".join(words), "s"))
+    label = _brute_classes(rows)
     got = {r["doc_id"]: r["class_id"] for r in simhash.near_classes(make(spark, rows)).collect()}
     assert got == label
 
 
-def test_filters_reach_their_recall():
-    rng = np.random.default_rng(3)
-    for depth in (1, 2):
-        filters = simhash.Filters(depth, 0.8, 0.99)
-        a = rng.integers(0, 2, (600, 128), np.uint8)
-        b = a ^ (rng.random((600, 128)) < simhash.bit_difference(0.85)).astype(np.uint8)
-        met = []
-        for bits in (a, b):
-            lists = [set() for _ in range(600)]
-            both = np.packbits(bits, axis=1).view(np.int64)
-            for row, path in filters.lists(both[:, 0].copy(), both[:, 1].copy()):
-                for r, p in zip(row.tolist(), path.tolist(), strict=True):
-                    lists[r].add(p)
-            met.append(lists)
-        assert np.mean([bool(x & y) for x, y in zip(*met, strict=True)]) > 0.95
-
-
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_recall_at_the_threshold(depth):
-    """Pairs of similarity 0.8 meet in a list and are within the distance, at every depth."""
+@pytest.mark.parametrize("near", [(3,), (2,), (1,), (3, 3)])
+def test_recall_at_the_threshold(near):
+    """Pairs of similarity 0.8 meet in a list and are within the distance, by every plan."""
     rng = np.random.default_rng(11)
-    n = 4000
-    bits = rng.integers(0, 2, (n, 128), np.uint8)
-    other = bits ^ (rng.random((n, 128)) < simhash.bit_difference(0.8)).astype(np.uint8)
-    filters = simhash.Filters(depth, 0.8, simhash.RECALL)
+    n = 2500
+    bits = rng.integers(0, 2, (n, simhash.BITS), np.uint8)
+    other = bits ^ (rng.random((n, simhash.BITS)) < simhash.bit_difference(0.8)).astype(np.uint8)
+    filters = simhash.filters_for(near, 0.8, simhash.RECALL)
     within = (bits != other).sum(1) <= simhash.most_distance(0.8)
-    left = np.flatnonzero(within)
-    for t, order in enumerate(filters.orders):
-        a, b = (np.ascontiguousarray(np.packbits(x[left][:, order], axis=1)).view(np.uint16) for x in (bits, other))
-        passes = lambda at, c, k=slice(None): ((simhash._ONES[a[k, at, None] ^ c] <= simhash.NEAR) & (simhash._ONES[b[k, at, None] ^ c] <= simhash.NEAR)).any(1)
-        met = np.zeros(len(left), bool)
-        for s in range(8):
-            k = np.flatnonzero(passes(s, filters.first[t, s]))
-            for level in range(1, depth):
-                at = (s + level) % 8
-                k = k[passes(at, filters.next[level, t, at], k)]
-            met[k] = True
-        left = left[~met]
-    assert 1 - (len(left) + (~within).sum()) / n >= 0.9975
+    met = np.zeros(n, bool)
+    entries = 0
+    both = [filters.lists(np.packbits(x, axis=1).view(np.int64)) for x in (bits, other)]
+    for (r1, p1), (r2, p2) in zip(*both, strict=True):
+        entries += len(r1)
+        first, second = (np.rec.fromarrays([r, p]) for r, p in ((r1, p1), (r2, p2)))
+        met[np.intersect1d(first, second)["f0"]] = True
+    assert (met & within).mean() >= 0.9975
+    assert entries / n == pytest.approx(simhash.entries(near), rel=0.05)
+
+
+def test_entries_grow_slowly():
+    """Ten times the texts take at most four times the list entries a text."""
+    at = [10**k for k in range(5, 9)]
+    entries = [simhash.entries(simhash.plan_for(n)) for n in at]
+    assert all(b <= 4 * a for a, b in pairwise(entries)) and entries[2] < 100
+
+
+def test_unlike_prints_stay_apart():
+    """Random prints are as close as near-duplicates once in 8e12 pairs."""
+    most = simhash.most_distance(0.8)
+    assert sum(math.comb(simhash.BITS, k) for k in range(most + 1)) / 2**simhash.BITS < 1.3e-13
+
+
+def test_few_shingles_are_linked_for_certain(spark):
+    """Texts of 8 words and the same with one more: similarity 0.8 exactly, whatever their bits."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+        rows += [(2 * k, " ".join(words[:8]), "s"), (2 * k + 1, " ".join(words), "s")]
+    got = {r["doc_id"]: r["class_id"] for r in simhash.near_classes(make(spark, rows)).collect()}
+    assert got == {k: k - k % 2 for k in range(300)}
+
+
+@pytest.mark.parametrize("near", [(1,), (3, 3)])
+def test_near_pairs_are_found_by_every_plan(spark, near):
+    """End to end: texts of exact similarity 0.8 are one class, at least 99 % of them, and nothing else is."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(4 + 90)]  # 90 shingles, of which 10 go: 80 of 100
+        other = [*words[:84], *(f"v{rng.randrange(10**9)}" for _ in range(10))]
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(other), "s")]
+    got = {r["doc_id"]: r["class_id"] for r in simhash.near_classes(make(spark, rows), near=near).collect()}
+    assert all(got[k] in (k, k - k % 2) for k in got)
+    assert sum(got[k] == k - 1 for k in range(1, 800, 2)) >= 0.99 * 400
 
 
 def _grouped(n, edges):
@@ -341,20 +364,38 @@ def test_long_lists_are_compared_whole(spark, monkeypatch):
     """Lists of many blocks find each close pair that they hold, as lists of one block do."""
     monkeypatch.setattr(simhash, "CHUNK", 8)
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 2, 128, np.uint8)
-    bits = np.repeat(base[None, :] ^ (rng.random((200, 128)) < 0.22), 2, axis=0).astype(np.uint8)
-    bits[1::2] ^= (rng.random((200, 128)) < simhash.bit_difference(0.8)).astype(np.uint8)
-    both = np.packbits(bits, axis=1).view(np.int64)
+    base = rng.integers(0, 2, simhash.BITS, np.uint8)
+    bits = np.repeat(base[None, :] ^ (rng.random((100, simhash.BITS)) < 0.22), 2, axis=0).astype(np.uint8)
+    bits[1::2] ^= (rng.random((100, simhash.BITS)) < simhash.bit_difference(0.8)).astype(np.uint8)
+    prints = np.packbits(bits, axis=1).view(np.int64)
     lists = defaultdict(set)
-    for row, path in simhash.Filters(1, 0.8, 0.999).lists(both[:, 0].copy(), both[:, 1].copy()):
+    for row, path in simhash.Filters((3,), 0.8, 0.999).lists(prints):
         for r, p in zip(row.tolist(), path.tolist(), strict=True):
             lists[p].add(r)
-    assert max(map(len, lists.values())) > 5 * 8
+    assert max(map(len, lists.values())) > 3 * 8
     far = (bits[:, None] != bits[None]).sum(2)
     close = {(a, b) for rows in lists.values() for a in rows for b in rows if a < b and far[a, b] <= simhash.most_distance(0.8)}
-    reps = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(both)], "_node long, _lo long, _hi long")
-    got = [(r["a"], r["b"]) for r in simhash.candidates(reps, 400, 0.8, 0.999).collect()]
-    assert _grouped(400, got) == _grouped(400, close)
+    reps = spark.createDataFrame([(k, *map(int, p)) for k, p in enumerate(prints)], "_node long, _p0 long, _p1 long, _p2 long")
+    got = [(r["a"], r["b"]) for r in simhash.candidates(reps, 200, 0.8, 0.999).collect()]
+    assert _grouped(200, got) == _grouped(200, close)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_far_members_of_a_component(spark, monkeypatch, hot):
+    """Texts that a leader does not hold are compared with all that can be near them, in blocks."""
+    if hot:
+        monkeypatch.setattr(simhash, "BLOCK", 5)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        at = rng.randrange(110)
+        for j in range(rng.randrange(7)):
+            words[(at + j * rng.choice([1, 1, 9])) % 120] = f"x{rng.randrange(40)}"
+        rows.append((k, " ".join(words), "s"))
+    assert {r["doc_id"]: r["class_id"] for r in simhash.near_classes(make(spark, rows)).collect()} == _brute_classes(rows)
 
 
 def test_large_group_in_blocks(spark):
