@@ -1,10 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling; DataFrame functions only.
 
-A source's target over its size is the number of copies each of its documents is due. The
-whole part is allocated for certain; the rest is an inclusion probability. Documents are
-ranked by the odds of a random number divided by the odds of inclusion, and the first ones
-are taken until their words come nearest to what the source still lacks: a sample of fixed size
-in words. Where to cut each source is found from a histogram of ranks and one small window.
+A source's target over its size is the number of copies its words are due. The whole part is
+allocated for certain; the rest is sampled with unequal probability: a document's inclusion odds
+are its source's odds, tilted towards short documents by the square root of its length against
+the source's mean (within TILT), so that a few very long texts do not make up a sample. Documents
+are ranked by the odds of a random number divided by their inclusion odds, and the first ones
+are taken as long as their words fit what the source still lacks; the first that does not fit is
+passed over, and the documents of any later rank that come nearest to what is left close the gap:
+a sample of fixed size in words. Where to cut each source is found from a histogram of ranks
+and one small window.
 """
 
 from __future__ import annotations
@@ -16,6 +20,10 @@ from .common import materialize, word_count
 
 #: Bins of a source's rank histogram; a bin's documents, 1/BINS of the source's, are ordered exactly.
 BINS = 1 << 16
+#: Inclusion odds are tilted at most this much, up or down.
+TILT = 2.0
+#: Documents of later rank that may close the gap.
+FILL = 2
 
 
 def random_number(doc_id: Column, text: Column, seed: int = 0) -> Column:
@@ -54,7 +62,9 @@ def with_rank(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds _copies (certain) and _q (random odds over inclusion odds; null if nothing is left to sample)."""
     due = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     chance = F.col("_due") - F.col("_copies")
-    odds = F.when(chance > 0, chance / (1 - chance))
+    mean = F.col("source_size").cast("double") / F.col("source_rows").cast("double")
+    tilt = F.greatest(F.lit(1 / TILT), F.least(F.lit(TILT), F.sqrt(F.try_divide(mean, F.col("_size").cast("double")))))
+    odds = F.when(chance > 0, chance / (1 - chance)) * tilt
     q = F.col("_u") / (1 - F.col("_u"))
     joined = docs.join(plan.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
     return joined.withColumn("_due", due).withColumn("_copies", F.floor("_due")).withColumn("_q", F.try_divide(q, odds)).drop("_due")
@@ -70,39 +80,46 @@ def _slim(docs: DataFrame, id_col: str, text: str, source: str, seed: int) -> Da
 
 
 def mixing_plan(slim: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row a source: _source, source_size, target and _cut, the last rank that is sampled (null: none).
+    """One row a source: _source, source_size, source_rows, target, _cut (ranks below it are sampled) and _fill (ranks that close the gap).
 
     slim: _source, _size and _u, materialized. Per-source sums are combined before they are
     shuffled; the histogram has at most BINS rows a source, so no source's documents meet in one
-    task. Equal ranks (fully repeated rows) are taken or left together.
+    task. The plan's windows see one row a source. Equal ranks (fully repeated rows) are taken or
+    left together.
     """
-    sizes = slim.groupBy("_source").agg(F.sum("_size").alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, share, most))
+    sizes = slim.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    targets = source_targets(sizes, weights, share, most).join(sizes.select(F.col("_source").alias("_of"), "source_rows"), F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+    targets = materialize(targets)
     ranked = with_rank(slim, targets).filter(F.col("_q").isNotNull() & (F.col("_size") > 0))
     ranked = ranked.withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS))
     up = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = ranked.groupBy("_source", "_bin").agg(F.sum("_size").alias("_in"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("_copies").alias("_copies"))
     bins = bins.withColumn("_before", F.coalesce(F.sum("_in").over(up), F.lit(0)))
     rest = F.col("target") - F.col("_copies") * F.col("source_size")
-    crossing = bins.filter((F.col("_before") < rest) & (F.col("_before") + F.col("_in") >= rest))
+    crossing = bins.filter((F.col("_before") <= rest) & (F.col("_before") + F.col("_in") > rest))
     crossing = materialize(crossing.select(F.col("_source").alias("_of"), F.col("_bin").alias("_at"), "_before", rest.alias("_rest")))
     here = ranked.join(crossing, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_bin") == F.col("_at")))
     by_rank = here.groupBy("_of", "_before", "_rest", "_q").agg(F.sum("_size").alias("_in"))
     running = Window.partitionBy("_of").orderBy("_q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_rank = by_rank.withColumn("_sum", F.col("_before") + F.sum("_in").over(running))
-    off = F.abs(F.col("_sum") - F.col("_rest"))
-    # Taking none of the bin is a choice too: its cut is the bin's lower edge.
-    none = crossing.select("_of", (F.col("_rest") - F.col("_before")).alias("_off"), F.lit(None).cast("double").alias("_q"), F.col("_at"))
-    found = by_rank.select("_of", off.alias("_off"), "_q", F.lit(None).cast("long").alias("_at")).unionByName(none)
-    best = found.groupBy("_of").agg(F.min(F.struct("_off", F.col("_q").isNull().alias("_none"), "_q", "_at")).alias("_b"))
-    best = best.select("_of", F.col("_b._q").alias("_cut_q"), F.when(F.col("_b._none"), F.col("_b._at")).alias("_cut_bin"))
-    return targets.join(best, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
+    # The first rank that does not fit; there is one, as the bin's last sum is beyond the rest.
+    over = by_rank.filter(F.col("_sum") > F.col("_rest")).groupBy("_of").agg(F.min(F.struct("_q", (F.col("_rest") - F.col("_sum") + F.col("_in")).alias("_gap"))).alias("_b"))
+    plan = materialize(over.select("_of", F.col("_b._q").alias("_cut"), F.col("_b._gap").alias("_gap"), F.array().cast("array<double>").alias("_fill")))
+    for _ in range(FILL):
+        later = ranked.join(plan, F.col("_source").eqNullSafe(F.col("_of"))).filter((F.col("_q") >= F.col("_cut")) & ~F.array_contains("_fill", F.col("_q")))
+        off = F.abs(F.col("_gap") - F.col("_size"))
+        best = later.filter(off < F.abs("_gap")).groupBy("_of").agg(F.min(F.struct(off.alias("_off"), "_q", "_size")).alias("_b"))
+        best = best.select(F.col("_of").alias("_to"), "_b")
+        plan = plan.join(best, F.col("_of").eqNullSafe(F.col("_to")), "left")
+        fill = F.when(F.col("_b").isNull(), F.col("_fill")).otherwise(F.concat("_fill", F.array("_b._q")))
+        plan = materialize(plan.select("_of", "_cut", (F.col("_gap") - F.coalesce(F.col("_b._size"), F.lit(0))).alias("_gap"), fill.alias("_fill")))
+    return targets.join(plan.drop("_gap"), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def copies(ranked: DataFrame) -> Column:
     """Copies of a row of `with_rank` under the plan's cuts."""
-    below = F.floor(F.col("_q") / (1 + F.col("_q")) * BINS) < F.col("_cut_bin")
-    return F.col("_copies") + F.coalesce((F.col("_q") <= F.col("_cut_q")) | below, F.lit(False)).cast("long")
+    sampled = (F.col("_q") < F.col("_cut")) | F.array_contains("_fill", F.col("_q"))
+    return F.col("_copies") + F.coalesce(sampled, F.lit(False)).cast("long")
 
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
@@ -126,6 +143,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col(source).alias("_source"),
+        word_count(F.col(text)).alias("_size"),
         random_number(F.col(id_col), F.col(text), seed).alias("_u"),
     )
     ranked = with_rank(rows, plan)

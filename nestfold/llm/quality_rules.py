@@ -217,17 +217,11 @@ def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of `docs` that `score_quality` keeps, with all their columns and repeats.
 
-    Measures are taken twice (to fit, then to filter) instead of moving texts through a join.
+    Measures are taken once and stand beside the rows in a table; the model is fitted on it, and
+    it is filtered. Columns have other names there, so that none can clash.
     """
-    slim = docs.select(F.col(text).alias("text"))
-    measured = materialize(with_measures(slim).drop("text"))
-    model = fit_on(measured, rules)
-    kept = with_measures(slim_with_all(docs, text), "_q_text", "_q_")
-    named = [Rule(r.name, "_q_" + r.over, "_q_" + r.under, r.good, r.fair, r.least) for r in rules]
-    good = model.posterior([r.vote() for r in named]) >= least
-    return kept.filter(~base_failed("_q_") & good).select("_q_row.*")
-
-
-def slim_with_all(docs: DataFrame, text: str) -> DataFrame:
-    """Every column in one struct, so that no name can clash, beside the text."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_row"), F.col(text).alias("_q_text"))
+    names = [f"_q{k}" for k in range(len(docs.columns))]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    measured = materialize(with_measures(renamed, names[docs.columns.index(text)]))
+    good = fit_on(measured, rules).posterior([r.vote() for r in rules]) >= least
+    return measured.filter(~base_failed() & good).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

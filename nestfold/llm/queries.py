@@ -67,7 +67,7 @@ WITH sized AS (
     (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':0'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows,
     [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source)) - 1) % 3 + 1]::DOUBLE AS w
   FROM sized GROUP BY source),
 levels AS (
@@ -78,18 +78,34 @@ tried AS (
     / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM levels),
 chosen AS (SELECT arg_min(level, k) AS level FROM tried WHERE level <= ratio),
 targets AS (
-  SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM chosen), 1e300) * w) AS target FROM sources),
+  SELECT source, source_size, source_rows, least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM chosen), 1e300) * w) AS target FROM sources),
 due AS (
-  SELECT s.*, t.source_size, t.target, coalesce(floor(t.target / nullif(t.source_size, 0)), 0)::BIGINT AS copies
+  SELECT s.*, t.source_size, t.source_rows, t.target, coalesce(t.target / nullif(t.source_size::DOUBLE, 0), 0) AS due
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-ranked AS (
-  SELECT *, target - copies * source_size AS rest,
-    coalesce(sum(size) OVER (PARTITION BY source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS upto FROM due),
+odds AS (
+  SELECT *, floor(due)::BIGINT AS copies, target - floor(due)::BIGINT * source_size AS rest,
+    (u / (1 - u)) / ((due - floor(due)) / (1 - (due - floor(due)))
+      * greatest(0.5::DOUBLE, least(2.0::DOUBLE, sqrt((source_size::DOUBLE / source_rows::DOUBLE) / nullif(size, 0)::DOUBLE)))) AS q
+  FROM due),
+ranked AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM odds WHERE size > 0 AND due > floor(due)),
 cuts AS (
-  SELECT source, arg_min(u, (abs(upto - rest), u)) AS u, min(abs(upto - rest)) AS off FROM ranked GROUP BY source)
-SELECT r.doc_id, r.size::BIGINT AS size, r.source_size, r.target,
-  (r.size * (r.copies + CASE WHEN r.rest > 0 AND r.u <= c.u AND c.off <= r.rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM ranked r JOIN cuts c ON r.source IS NOT DISTINCT FROM c.source
+  SELECT source, min(q) AS cut FROM ranked WHERE upto > rest GROUP BY source),
+gaps AS (
+  SELECT c.source, c.cut, any_value(r.rest) - coalesce(sum(CASE WHEN r.q < c.cut THEN r.size END), 0) AS gap
+  FROM cuts c JOIN ranked r ON r.source IS NOT DISTINCT FROM c.source GROUP BY c.source, c.cut),
+fill1 AS (
+  SELECT r.source, arg_min(r.q, (abs(gap - r.size), r.q)) AS f1, arg_min(r.size, (abs(gap - r.size), r.q)) AS s1
+  FROM ranked r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source WHERE r.q >= cut AND abs(gap - r.size) < abs(gap) GROUP BY r.source),
+gaps2 AS (
+  SELECT g.source, g.cut, f.f1, g.gap - coalesce(f.s1, 0) AS gap FROM gaps g LEFT JOIN fill1 f ON f.source IS NOT DISTINCT FROM g.source),
+fill2 AS (
+  SELECT r.source, arg_min(r.q, (abs(gap - r.size), r.q)) AS f2
+  FROM ranked r JOIN gaps2 g ON r.source IS NOT DISTINCT FROM g.source
+  WHERE r.q >= cut AND abs(gap - r.size) < abs(gap) AND r.q IS DISTINCT FROM f1 GROUP BY r.source)
+SELECT o.doc_id, o.size::BIGINT AS size, o.source_size, o.target,
+  (o.size * (o.copies + CASE WHEN o.due > floor(o.due) AND o.size > 0 AND (o.q < g.cut OR o.q = g.f1 OR o.q = f.f2) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM odds o LEFT JOIN gaps2 g ON o.source IS NOT DISTINCT FROM g.source LEFT JOIN fill2 f ON o.source IS NOT DISTINCT FROM f.source
 """
 
 _OP7 = """
