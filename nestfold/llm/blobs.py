@@ -13,25 +13,34 @@ from pyspark import TaskContext
 _PLAIN = zstandard.ZstdCompressor(level=1)
 
 
+_HEAD = struct.Struct("<3sII")  # type, length, bytes of the body
+_RAW = 0xFFFFFFFF  # a body that does not compress stands as it is, so that small blobs stay small
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes: each split into planes of equal significance, which compress well."""
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        code = a.dtype.str.encode()
-        body = _PLAIN.compress(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
-        out.append(struct.pack("<BQQ", len(code), len(a), len(body)) + code + body)
+        raw = a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+        body = _PLAIN.compress(raw) if len(raw) > 32 else raw
+        small = len(body) < len(raw)
+        out += _HEAD.pack(a.dtype.str.encode(), len(a), len(body) if small else _RAW), body if small else raw
     return b"".join(out)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(blob):
-        k, n, m = struct.unpack_from("<BQQ", blob, at)
-        at += 17
-        dtype = np.dtype(blob[at : at + k].decode())
-        at += k
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at : at + m]), np.uint8)
+        code, n, m = _HEAD.unpack_from(blob, at)
+        at += _HEAD.size
+        dtype = np.dtype(code.decode())
+        if m == _RAW:
+            m = n * dtype.itemsize
+            raw = blob[at : at + m]
+        else:
+            raw = zstandard.ZstdDecompressor().decompress(blob[at : at + m])
+        planes = np.frombuffer(raw, np.uint8)
         out.append(np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).ravel() if n else np.empty(0, dtype))
         at += m
     return out
@@ -65,6 +74,17 @@ def blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple
         yield block, ids, texts
 
 
+def split(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, begin, end) of the buckets that hold any of the ascending 64-bit keys.
+
+    Buckets without keys are left out, so what blocks send has at most as many blobs as keys,
+    however many buckets the data make.
+    """
+    edges = bucket_edges(keys, buckets)
+    for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        yield k, int(edges[k]), int(edges[k + 1])
+
+
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket of ascending 64-bit keys begins, and the end."""
     bounds = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)

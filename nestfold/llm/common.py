@@ -42,17 +42,17 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 #: A group of more rows is joined where its rows are; smaller ones meet by key.
-HOT_ROWS, HOT_GROUPS = 50_000, 100_000
+HOT_ROWS = 50_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n: int, row_bytes: int = 80) -> DataFrame:
     """Inner join of `rows` (materialized, `n` of them at most) with one row a group, nulls equal.
 
     `size` is the group's row count. Groups of more than `cap` rows are sent to every task instead
     of their rows being shuffled by key, so no key fills a task. At most n / cap groups are that
-    large, which bounds what is broadcast to HOT_GROUPS rows whatever the data.
+    large, so that groups of `row_bytes` each stay within BROADCAST_BYTES whatever the data.
     """
-    cap = max(HOT_ROWS, n // HOT_GROUPS)
+    cap = max(HOT_ROWS, n * row_bytes // BROADCAST_BYTES)
     named = groups.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
     same = lambda: [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     drop = [f"_k_{k}" for k in keys]

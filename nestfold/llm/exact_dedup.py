@@ -2,17 +2,18 @@
 
 Texts are cut into fixed-size blocks; sorting the distinct blocks gives each an integer name.
 Adjacent names are then paired and the distinct pairs sorted into names, until each document is
-one name. Names are equal just where texts are, without trust in any hash. A fingerprint
-(byte length and 64-bit hash) goes before: a document whose fingerprint no other has differs
-from all others for certain, so only the rest is named.
+one name. Names are equal just where texts are, without trust in any hash, and depend on the
+texts alone, not on how rows are dealt to tasks. A fingerprint (byte length and 64-bit hash) goes
+before: a document whose fingerprint no other has differs from all others for certain, so only the
+rest is named.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import join_groups, materialize, maybe_broadcast, parts_for
 
 BLOCK_BYTES = 4096
 
@@ -34,26 +35,37 @@ def _split(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Sort distinct keys into integer names; materialized, so that a name never changes.
+    """Sort materialized distinct keys into integer names 0, 1, ...; the order is that of a hash, then of the keys.
 
-    A name is a key's partition and its place in the partition's order. To sort all partitions
-    against each other would sample keys, which are whole blocks, to the driver.
+    A piece is a range of hashes, so that pieces are even and no keys, which are whole blocks,
+    are sampled to the driver; counts of pieces give each piece its first name.
     """
-    return materialize(distinct.sortWithinPartitions(*keys).withColumn("_name", F.monotonically_increasing_id()))
+    pieces = min(1 << 16, parts_for(distinct.count(), 100_000))
+    dealt = distinct.withColumn("_h", F.xxhash64(*keys))
+    dealt = dealt.withColumn("_piece", F.shiftright(F.shiftrightunsigned("_h", 48) * pieces, 16))
+    counts = dealt.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # over pieces, not keys
+    starts = counts.select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_piece").orderBy(F.shiftrightunsigned("_h", 1), "_h", *keys)) - 1
+    named = dealt.withColumn("_place", place).join(F.broadcast(starts), "_piece")
+    return materialize(named.withColumn("_name", F.col("_start") + F.col("_place")).drop("_h", "_piece", "_place", "_start"))
 
 
 def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """_rid, _level and _name of a materialized table (_rid, _text); (_level, _name) is the identity.
 
     A round pairs names of one level; documents of one name leave it. Blocks and pairs are made
-    distinct before they are shuffled, so a group of copies adds a row a task to any name.
+    distinct before they are shuffled, so a group of copies adds a row a task to any name, and
+    names of very frequent ones are sent to their rows.
     """
     body = F.col("_text").cast("binary")
     n = F.greatest(F.ceil(F.octet_length("_text") / block_bytes), F.lit(1)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(body, k * block_bytes + 1, F.lit(block_bytes)))
     blocks = texts.select("_rid", n.alias("_n"), F.posexplode(cut).alias("_i", "_block"))
-    names = _named(blocks.select("_block").distinct(), ["_block"])
-    now = materialize(blocks.join(names, "_block").select("_rid", "_n", "_i", "_name"))
+    counted = materialize(blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_m")))
+    names = _named(counted, ["_block"])
+    size = counted.agg(F.sum("_m")).first()[0] or 0
+    now = materialize(join_groups(blocks, names, ["_block"], "_m", size, block_bytes).select("_rid", "_n", "_i", "_name"))
     longest = texts.agg(F.max(n)).first()[0] or 1
     done, level = [], 0
     while True:
@@ -63,8 +75,9 @@ def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         left, right = F.when(F.col("_i") % 2 == 0, F.col("_name")), F.when(F.col("_i") % 2 == 1, F.col("_name"))
         pairs = now.filter("_n > 1").groupBy("_rid", "_n", (F.col("_i") / 2).cast("int").alias("_p"))
         pairs = pairs.agg(F.max(left).alias("_a"), F.coalesce(F.max(right), F.lit(-1)).alias("_b"))
-        names = _named(pairs.select("_a", "_b").distinct(), ["_a", "_b"])
-        now = materialize(pairs.join(names, ["_a", "_b"]).select("_rid", F.ceil(F.col("_n") / 2).cast("int").alias("_n"), F.col("_p").alias("_i"), "_name"))
+        pairs = materialize(pairs)
+        names = _named(materialize(pairs.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_m"))), ["_a", "_b"])
+        now = materialize(join_groups(pairs, names, ["_a", "_b"], "_m", pairs.count()).select("_rid", F.ceil(F.col("_n") / 2).cast("int").alias("_n"), F.col("_p").alias("_i"), "_name"))
         longest, level = -(-longest // 2), level + 1
     out = done[0]
     for more in done[1:]:
@@ -78,7 +91,8 @@ def _grouped(others: DataFrame, id_col: str, block_bytes: int) -> DataFrame:
     named = materialize(named)
     best = named.groupBy("_level", "_name").agg(F.max(F.struct("_id", "_rid")).alias("_best"), F.count(F.lit(1)).alias("group_size"))
     best = materialize(best)
-    return named.join(maybe_broadcast(best, best.count(), 60), ["_level", "_name"]).select("_rid", "_id", F.col("_best._id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("_best._rid")).alias("kept"))
+    joined = join_groups(named, best, ["_level", "_name"], "group_size", named.count())
+    return joined.select("_rid", "_id", F.col("_best._id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("_best._rid")).alias("kept"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

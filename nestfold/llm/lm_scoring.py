@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .blobs import ascending, blocks, bucket_edges, deltas, give_back, mix, pack, unpack
+from .blobs import ascending, blocks, bucket_edges, deltas, give_back, mix, pack, split, unpack
 from .common import bound_batches, materialize, parts_for
 
 BLOCK_BYTES = 8 << 20
@@ -136,9 +136,9 @@ def lm_scores(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str
                 counts = np.zeros(len(found), np.int64)
                 for place in places:
                     counts += np.bincount(place[place >= 0], minlength=len(found))
-                edges = bucket_edges(found, buckets)
-                blobs = [pack(deltas(found[a:b]), counts[a:b].astype(np.int32)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([block.as_py()] * buckets), pa.array(blobs, pa.binary())], ["bucket", "block", "body"])
+                parts = [(b, pack(deltas(found[s:e]), counts[s:e].astype(np.int32))) for b, s, e in split(found, buckets)]
+                numbers, blobs = [b for b, _ in parts], [x for _, x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([block.as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "body"])
                 del found, places, counts
                 give_back()
 
@@ -160,11 +160,11 @@ def lm_scores(docs: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str
         for size in sizes:
             mine = more[at : at + size]
             where = np.flatnonzero(mine)
-            out.append(pack(deltas(where.astype(np.int32)), mine[where]))
+            out.append(pack(deltas(where.astype(np.int32)), mine[where]) if len(where) else None)
             at += size
         del keys, own, order_, ranked, more
         give_back()
-        return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "more": out})
+        return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "more": out}).dropna()
 
     grams = table.select("block", "body").mapInArrow(explode, "bucket int, block long, body binary")
     joined = grams.groupBy("bucket").applyInPandas(join, "block long, bucket int, more binary")

@@ -45,7 +45,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_scoring.lm_scores(read_table(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,8 @@ counted AS (
 scored AS (
   SELECT doc_id, CASE WHEN c2 > 0 THEN ln(c2 / context)
     ELSE ln(CASE WHEN c1 > 0 THEN c1 ELSE 0.4::DOUBLE END / rest) + CASE WHEN follows THEN ln(0.4::DOUBLE) ELSE 0 END END AS score FROM counted)
-SELECT s.doc_id, s.n_words::BIGINT AS n_words, round(coalesce(sum(score), 0), 4) AS log_score
+SELECT s.doc_id, s.n_words::BIGINT AS n_words, round(coalesce(sum(score), 0), 4) AS log_score,
+  round(sum(score) / any_value(s.n_words), 4) AS mean_log_score
 FROM size s LEFT JOIN scored USING (doc_id) GROUP BY ALL
 """
 

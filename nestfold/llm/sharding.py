@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, number_rows, parts_for
+from .common import join_groups, materialize, number_rows, parts_for
 
 #: Partial partitions that one task differences.
 FAN_IN = 50_000
@@ -128,7 +128,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         F.unhex(F.sha2(body, 256)).alias("_key"),
     )
     slim = materialize(slim)
-    groups = materialize(slim.groupBy("_key").agg(F.sum("size").alias("_bytes")))
-    placed = materialize(slim.join(group_shards(groups, groups.count(), shards, fan_in), "_key"))
+    groups = materialize(slim.groupBy("_key").agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_m")))
+    to = group_shards(groups.drop("_m"), groups.count(), shards, fan_in).join(groups.select("_key", "_m"), "_key")
+    placed = materialize(join_groups(slim, to, ["_key"], "_m", slim.count()).drop("_m"))
     numbered = number_rows(placed, ["shard"], ["_id", "_key"], "slot", placed.count())
     return numbered.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

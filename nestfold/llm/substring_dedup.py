@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import ascending, blocks, bucket_edges, deltas, give_back, mix, pack, unpack
+from .blobs import ascending, blocks, bucket_edges, deltas, give_back, mix, pack, split, unpack
 from .common import bound_batches, materialize, parts_for
 
 SPAN = 100
@@ -111,7 +111,7 @@ class Runs:
         self.anchor = at[self.lo].astype(np.int64)
         self.key = mix(grams[self.anchor] ^ _ODD[7])  # anchors have small hashes; these are even again
         places = [*range(0, span - gram, gram), span - gram]
-        kind = ((self.hi - self.lo) * 4096 + self.anchor - self.lo).astype(np.uint64)
+        kind = ((self.hi - self.lo) * (span + 1) + self.anchor - self.lo).astype(np.uint64)
         del at, valid, new, last
         for edge in (self.lo, self.hi):
             for p in places:
@@ -247,9 +247,9 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
                 key = runs.key[mine]
                 kind, doc = runs.kind[mine], of[runs.doc[mine]]
                 del runs, order, first, mine
-                edges = bucket_edges(key, buckets)
-                blobs = [pack(deltas(key[a:b]), kind[a:b], doc[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([block.as_py()] * buckets), pa.array(blobs, pa.binary())], ["bucket", "block", "body"])
+                found = [(b, pack(deltas(key[s:e]), kind[s:e], doc[s:e])) for b, s, e in split(key, buckets)]
+                numbers_, blobs = [b for b, _ in found], [x for _, x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers_, pa.int32()), pa.array([block.as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "body"])
                 give_back()
 
     def sort_runs(part: pd.DataFrame) -> pd.DataFrame:
@@ -276,10 +276,10 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
         for size in sizes:
             mine = back[at : at + size]
             where = np.flatnonzero(mine)
-            out.append(pack(deltas(where.astype(np.int32)), mine[where]))
+            out.append(pack(deltas(where.astype(np.int32)), mine[where]) if len(where) else None)
             at += size
         give_back()
-        return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "body": out})
+        return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "body": out}).dropna()
 
     columns = "block long, bucket int, body binary"
     sorted_runs = table.select("block", "ids", "body").mapInArrow(explode, "bucket int, block long, body binary").groupBy("bucket").applyInPandas(sort_runs, columns)
@@ -297,13 +297,13 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
             state[edges[bucket] + ascending(where)] = what
         gone = np.concatenate([order[~first], mine[state == 1]])
         rows = []
-        for b, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        for b, s, e in split(runs.key[mine], buckets):
             some = mine[s:e][state[s:e] == 2]
             if len(some):
                 lo, hi = runs.lo[some], runs.hi[some]
                 size = hi - lo + span
                 take = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                rows.append((1, block, b, pack(runs.key[some], (runs.anchor[some] - lo).astype(np.int16), (hi - lo).astype(np.int16), of[runs.doc[some]], lo, runs.buf[take]), None, None, None, None, None))
+                rows.append((1, block, b, pack(runs.key[some], (runs.anchor[some] - lo).astype(np.int32), (hi - lo).astype(np.int32), of[runs.doc[some]], lo, runs.buf[take]), None, None, None, None, None))
         touched = np.zeros(len(texts), bool)
         touched[runs.doc[gone]] = True
         touched[runs.doc[mine[state == 2]]] = True
@@ -347,7 +347,7 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
             n = extent[some].astype(np.int64) + 1
             run = np.repeat(some, n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            late = repeated_windows(text, start[run] + step, key[run], anchor[run] - step, rank[run] * 65536 + step, span)
+            late = repeated_windows(text, start[run] + step, key[run], anchor[run] - step, rank[run] * (span + 1) + step, span)
             blocks_.append(of_block[run[late]])
             found.append(lo[run[late]] + step[late])
             at = end

@@ -259,6 +259,8 @@ def test_names_tell_texts_apart(spark):
     names = {r["_rid"]: (r["_level"], r["_name"]) for r in exact_dedup.block_names(df, 4).collect()}
     assert names[0] == names[4]
     assert len(set(names.values())) == 6
+    again = {r["_rid"]: (r["_level"], r["_name"]) for r in exact_dedup.block_names(df.repartition(5, "_text"), 4).collect()}
+    assert again == names  # names depend on the texts alone
 
 
 # --- SimHash
