@@ -1,9 +1,11 @@
 """Personal data: identifiers in plain and in disguised form, with spans in the source text.
 
-Plain identifiers are found by four patterns. Disguised ones are found in a normalised text:
-transducers replace look-alike letters and digits, drop invisible characters, and rewrite
-spelled digits and at/dot disguises. Every character of the normalised text remembers which
-source characters it stands for, so that each span found there maps back exactly.
+Plain identifiers are found by four patterns. Disguised ones are found in a normalised text.
+Small transducers follow each other: look-alike characters, invisible characters, character
+references, bracketed dots, letters and signs set apart by blanks, at/dot disguises, spelled
+digits with multipliers, and letters that stand for digits. Each reads what the one before it
+wrote, and every character remembers which source characters it stands for, so that each span
+found in the end maps back exactly.
 """
 
 from __future__ import annotations
@@ -109,10 +111,11 @@ _DIGIT_WORDS = {
     for w in ws.split()
 }
 _WORD_ALT = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
-_DIGIT = rf"(?:(?:{_WORD_ALT})(?![^\W\d_])|[0-9]+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\s*_dot_\s*)"
-_AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s*_at_\s*|\s+@\s+)"
-_HARD_AT = r"(?:\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*|\s*_at_\s*)"
+_TIMES = {"double": 2, "doppel": 2, "doble": 2, "triple": 3, "tripel": 3}
+_DIGIT = rf"(?:(?:(?:{'|'.join(_TIMES)})\s+)?(?:{_WORD_ALT})(?![^\W\d_])|[0-9]+)"
+_DOT = r"(?:\s+-\s?(?:dot|punkt|punto)\s?-\s+|\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\s*_dot_\s*)"
+_AT = r"(?:\s+-\s?at\s?-\s+|\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*|\s+(?:at|arroba)\s+|\s*_at_\s*|\s+@\s+)"
+_HARD_AT = r"(?:\s+-\s?at\s?-\s+|\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*|\s*_at_\s*)"
 _NAME = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:" + _DOT + r"[A-Za-z0-9_%+-]{1,64}){0,3}"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
 #: Where both at and dot are mere words, the last label must be one of these: prose has such words too.
@@ -125,11 +128,11 @@ _ADDRESS = re.compile(
 _ADDRESS_HINTS = ("dot", "punkt", "punto", "arroba", "_at_", " @ ", "@\n", "\n@", "[", "(", "{", "<")
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|arroba|dot|punkt|punto|point|\.)\s*[\])}>]", re.IGNORECASE)
 _DOT_RE, _AT_RE = re.compile(_DOT, re.IGNORECASE), re.compile(_AT, re.IGNORECASE)
-_SEP = rf"(?:[\s,]+|\s*[-]\s*|{_DOT}|\.)"
+_SEP = rf"(?:[\s,()]+|\s*[-]\s*|{_DOT}|\.)"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus|más|mas)\s+|\+\s*)?{_DIGIT}(?:{_SEP}{_DIGIT}){{3,}}", re.IGNORECASE)
-_SPELLED_WORDS = frozenset(_DIGIT_WORDS) | {"dot", "punkt", "punto", "(dot)", "[dot]", "{dot}"}
+_SPELLED_WORDS = frozenset(_DIGIT_WORDS) | frozenset(_TIMES) | {"dot", "punkt", "punto", "(dot)", "[dot]", "{dot}"}
 _SPELLED_HINT = re.compile(rf"(?<![^\W_])(?:{_WORD_ALT})(?![^\W\d_])|dot|punkt|punto", re.IGNORECASE)
-_SPELLED_PART = re.compile(rf"(?:plus|más|mas)\s+|\+\s*|{_DOT}|\.|{_DIGIT}|[\s,-]+", re.IGNORECASE)
+_SPELLED_PART = re.compile(rf"(?:plus|más|mas)\s+|\+\s*|{_DOT}|\.|{_DIGIT}|[\s,()-]+", re.IGNORECASE)
 
 
 class Normalised:
@@ -147,6 +150,12 @@ class Normalised:
         self.last += range(at + 1, len(text) + 1)
         self.text = "".join(parts)
 
+    def then(self, edits: list[tuple[int, int, str]]) -> Normalised:
+        """What a further transducer makes of this text, mapped to the same source."""
+        new = Normalised(self.text, edits)
+        new.first, new.last = [self.first[k] for k in new.first], [self.last[k - 1] for k in new.last]
+        return new
+
     def source(self, start: int, end: int) -> tuple[int, int]:
         return self.first[start], self.last[end - 1]
 
@@ -168,8 +177,11 @@ def _digit_edits(text: str) -> Iterator[tuple[int, int, str]]:
         new = []
         for x in _SPELLED_PART.finditer(m[0]):
             part = x[0].strip().lower()
+            times, _, word = part.rpartition(" ")
             if part in _DIGIT_WORDS:
                 new.append(_DIGIT_WORDS[part])
+            elif times.strip() in _TIMES:
+                new.append(_DIGIT_WORDS[word] * _TIMES[times.strip()])
             elif part.isdigit():
                 new.append(part)
             elif part[:1] == "+" or part[:2] in ("pl", "má", "ma"):
@@ -179,12 +191,68 @@ def _digit_edits(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), "".join(new)
 
 
-_APART = str.maketrans(dict.fromkeys("-,.", " "))
+_REFERENCE = re.compile(r"&#(?:x([0-9a-f]{2})|([0-9]{2,3}));|&(commat|period|plus|hyphen|lowbar);|(?<=[a-z0-9])%(40|2e|2b|2d)(?=[a-z0-9])", re.IGNORECASE)
+_NAMED = {"commat": "@", "period": ".", "plus": "+", "hyphen": "-", "lowbar": "_"}
+
+
+def _reference_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Character references and percent codes of printable ASCII."""
+    for m in _REFERENCE.finditer(text):
+        code = int(m[1], 16) if m[1] else int(m[2]) if m[2] else ord(_NAMED[m[3].lower()]) if m[3] else int(m[4], 16)
+        if 33 <= code < 127:
+            yield m.start(), m.end(), chr(code)
+
+
+_HELD_DOT = re.compile(r"(?<=[0-9])\s?[\[({<]\s?(?:\.|dot|punkt|punto)\s?[\])}>]\s?(?=[0-9])", re.IGNORECASE)
+
+
+def _held_dot_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Dots in brackets between digits."""
+    for m in _HELD_DOT.finditer(text):
+        yield m.start(), m.end(), "."
+
+
+_LETTERS_APART = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+-] ){2,}@(?: [A-Za-z0-9.-]){4,}(?!\S)")
+_SIGNS_APART = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}} ?@ ?{_LABEL}(?: ?\. ?{_LABEL})*? \. ?{_TOP}", re.IGNORECASE)
+_LETTER_AT = re.compile(rf"(?<=[A-Za-z0-9])[\[({{](?:a|ä|at)[\])}}](?={_LABEL}(?:\.{_LABEL})*\.{_TOP})", re.IGNORECASE)
+
+
+def _apart_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Blanks between the letters of an address, and around its signs; an a in brackets for the at sign."""
+    done = 0
+    for m in sorted([*_LETTERS_APART.finditer(text), *_SIGNS_APART.finditer(text)], key=lambda m: (m.start(), -m.end())):
+        if m.start() >= done:
+            done = m.end()
+            yield from ((m.start() + k, m.start() + k + 1, "") for k, c in enumerate(m[0]) if c == " ")
+
+
+def _letter_at_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _LETTER_AT.finditer(text):
+        yield m.start(), m.end(), "@"
+
+
+_ONE_OR_ZERO = str.maketrans("lIOo", "1100")
+_LETTER_DIGITS = re.compile(
+    r"(?<![A-Za-z0-9.])(?:\+[0-9lIOo](?:[ ().-]{0,2}[0-9lIOo]){9,14}|[0-9lIOo](?:[ -]?[0-9lIOo]){13,18}|[0-9lIOo]{1,3}(?:\.[0-9lIOo]{1,3}){3})(?![A-Za-z0-9])"
+)
+
+
+def _letter_digit_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Letters that look like 1 or 0, in an identifier of which each group (of an IP, half) has true digits."""
+    for m in _LETTER_DIGITS.finditer(text):
+        groups = [g for g in re.split("[ ().+-]+", m[0]) if g] if m[0].count(".") != 3 else [m[0]]
+        letters = sum(map(m[0].count, "lIOo"))
+        if letters and 2 * letters <= sum(map(str.isalnum, m[0])) and all(any("0" <= c <= "9" for c in g) for g in groups):
+            yield from ((m.start() + k, m.start() + k + 1, c.translate(_ONE_OR_ZERO)) for k, c in enumerate(m[0]) if c in "lIOo")
+
+
+_LETTER_BY_DIGIT = re.compile(r"[0-9][ .-]?[lIOo]|[lIOo][ .-]?[0-9]")
+_APART = str.maketrans(dict.fromkeys("-,.()", " "))
 
 
 def _has_digit_words(low: str) -> bool:
     """Whether four words in a row can be digits, spelled or not, and dots; one at least spelled or a dot."""
-    words = low.translate(_APART).split() if low.isascii() else low.replace("-", " ").replace(",", " ").replace(".", " ").split()
+    words = low.translate(_APART).split()
     if _SPELLED_WORDS.isdisjoint(words):
         return False
     run = 0
@@ -199,26 +267,37 @@ def normalise(text: str) -> Normalised | None:
     """The text without its disguises; None where there are none."""
     odd = not text.isascii() and bool(_ODD.search(text))
     plain = text.translate(LOOK_ALIKES) if odd else text
-    edits = [(m.start(), m.end(), "") for m in re.finditer(f"[{_INVISIBLE}]+", plain)] if odd else []
-    if edits:  # what is invisible goes first, so that it hides no other disguise
-        inner = Normalised(plain, edits)
-        again = normalise(inner.text) or Normalised(inner.text, [])
-        again.first, again.last = [inner.first[k] for k in again.first], [inner.last[k - 1] for k in again.last]
-        return again
-    low = plain.lower()
-    if any(map(low.__contains__, _ADDRESS_HINTS[:8])) or any(map(low.__contains__, _ADDRESS_HINTS[8:])) and _BRACKETED.search(low):
-        edits += _address_edits(plain)
+    now = Normalised(plain, []) if odd else None
+
+    def apply(edits: Iterator[tuple[int, int, str]]) -> None:
+        nonlocal now
+        apart, end = [], 0
+        for e in sorted(edits):
+            if e[0] >= end:
+                apart.append(e)
+                end = e[1]
+        if apart:
+            now = (now or Normalised(plain, [])).then(apart)
+
+    read = lambda: now.text if now else plain
+    if odd:  # what is invisible goes first, so that it hides no other disguise
+        apply((m.start(), m.end(), "") for m in re.finditer(f"[{_INVISIBLE}]+", plain))
+    if "&#" in plain or "%" in plain or "&" in plain and ";" in plain:
+        apply(_reference_edits(read()))
+    low = read().lower()
+    bracketed = any(map(low.__contains__, _ADDRESS_HINTS[8:]))
+    if bracketed:
+        apply(_held_dot_edits(read()))
+        apply(_letter_at_edits(read()))
+    if " @" in low or "@ " in low or " ." in low and "@" in low:
+        apply(_apart_edits(read()))
+    if any(map(low.__contains__, _ADDRESS_HINTS[:8])) or bracketed and _BRACKETED.search(low):
+        apply(_address_edits(read()))
     if _has_digit_words(low):
-        edits += _digit_edits(plain)
-    if not (odd or edits):
-        return None
-    edits.sort()
-    apart, end = [], 0
-    for e in edits:
-        if e[0] >= end:
-            apart.append(e)
-            end = e[1]
-    return Normalised(plain, apart)
+        apply(_digit_edits(read()))
+    if _LETTER_BY_DIGIT.search(read()):
+        apply(_letter_digit_edits(read()))
+    return now
 
 
 def find_all(text: str) -> tuple[list[Span], list[Span]]:
