@@ -3,16 +3,19 @@
 Documents are tokenised and cut only if they are longer than a sequence. Pieces are dealt into
 blocks of bounded size. Each block is packed by several islands: an individual is a whole packing
 (a set of bins), crossover injects the well-filled bins of one parent into the other, removes
-the documents that are then there twice and fits the displaced ones best-fit; between epochs the
-islands of a block send each other their elite. Bins that stay poorly filled are opened again
-and their documents packed together across blocks.
+the documents that are then there twice, lets displaced ones take the place of smaller ones where
+they fill a bin better, and fits the rest best-fit; between epochs the islands of a block send each
+other their elite. Bins that stay poorly filled are opened again and their documents packed
+together across blocks.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import random
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ from .common import bound_batches, materialize, parts_for
 CAPACITY = 1024
 #: Pieces in one block: what one task packs at once.
 BLOCK = 8192
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 5, 6
 #: The rule by which the tokenizer splits a text before it merges bytes, with possessive runs.
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -142,8 +145,36 @@ class Packer:
             else:
                 displaced += [i for i in b if i not in taken]
         kept = self._open_worst(kept, displaced, rng)
-        displaced.sort(key=self.sizes.__getitem__, reverse=True)
-        return self.best_fit(displaced, [list(b) for b in chosen] + [list(b) for b in kept])
+        kept = [list(b) for b in kept]
+        displaced = self.replace(kept, displaced)
+        return self.best_fit(displaced, [list(b) for b in chosen] + kept)
+
+    def replace(self, bins: list[list[int]], displaced: list[int]) -> list[int]:
+        """Let displaced items take the place of one or two smaller ones where a bin is fuller then.
+
+        What is displaced in the end, largest first: as much in number or more, but easier to place.
+        """
+        sizes, out = self.sizes, sorted((self.sizes[i], i) for i in displaced)
+        for b in bins:
+            room = self.capacity - sum(map(sizes.__getitem__, b))
+            if not room or not out:
+                continue
+            gain, best = 0, None
+            groups = [(i,) for i in b]
+            if len(b) <= 12:
+                groups += [(i, j) for k, i in enumerate(b) for j in b[:k]]
+            for group in groups:
+                size = sum(map(sizes.__getitem__, group))
+                k = bisect_right(out, (size + room, len(sizes))) - 1
+                if k >= 0 and out[k][0] - size > gain:
+                    gain, best = out[k][0] - size, (group, k)
+            if best:
+                group, k = best
+                b.append(out.pop(k)[1])
+                for i in group:
+                    b.remove(i)
+                    insort(out, (sizes[i], i))
+        return [i for _, i in reversed(out)]
 
     def _open_worst(self, bins: list[list[int]], displaced: list[int], rng: random.Random) -> list[list[int]]:
         """Mutation: the least filled bins, and a few at random, are opened too."""
@@ -169,15 +200,22 @@ class Packer:
             return best
         while len(people) < population:
             people.append(self.decreasing(rng))
-        people.sort(key=self.fitness, reverse=True)
-        for _ in range(generations):
-            if len(people[0]) <= self.bound():
+        population = max(2, population)
+        ranked = sorted(((self.fitness(p), k, p) for k, p in enumerate(people)), reverse=True)
+        for g in range(generations):
+            if len(ranked[0][2]) <= self.bound():
                 break
-            a, b = rng.sample(people[: max(2, len(people) // 2)], 2)
-            people += [self.cross(a, b, rng), self.cross(b, a, rng)]
-            people.sort(key=self.fitness, reverse=True)
-            del people[population:]
-        return people[0]
+            a, b = (min(rng.sample(range(len(ranked)), 2)) for _ in range(2))  # tournaments of two
+            if a == b:
+                b = (a + 1) % len(ranked)
+            born = [self.cross(ranked[x][2], ranked[y][2], rng) for x, y in ((a, b), (b, a))]
+            seen, ranked = set(), sorted([*ranked, *((self.fitness(p), population + 2 * g + k, p) for k, p in enumerate(born))], reverse=True)
+            # Packings of one fitness are mostly one packing: the population keeps apart what differs.
+            ranked = [r for r in ranked if not (r[0] in seen or seen.add(r[0]))][:population]
+            if len(ranked) < 2:
+                p = self.decreasing(rng)
+                ranked.append((self.fitness(p), -1 - g, p))
+        return ranked[0][2]
 
 
 def _bins(numbers) -> list[list[int]]:
@@ -199,56 +237,68 @@ def _order(part: pd.DataFrame) -> pd.DataFrame:
     return part.sort_values(["length", "ids_crc32", "piece", "start", "_id"], ignore_index=True, kind="stable")
 
 
+_STATE = "_block long, _island int, _from int, sizes binary, elite binary"
+
+
 def _epoch(state: DataFrame, capacity: int, epoch: int, generations: int, population: int) -> DataFrame:
-    """Each island of each block evolves what it has; then each sends its elite to the next one."""
-    names = [f for f in state.schema.fields if f.name not in ("_elite", "_from")]
-    schema = state.select(*[f.name for f in names], "_elite").schema
+    """Each island of each block evolves what it has. An island is its items' sizes and one bin number each."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_from", ignore_index=True)
         block, island = int(part["_block"].iat[0]), int(part["_island"].iat[0])
-        parents = [_order(p) for _, p in part.groupby("_from", sort=True)]
-        items = parents[0]
-        sizes = items["length"].astype(int).tolist()
-        packer = Packer(sizes, capacity)
-        elites = [_bins(p["_elite"]) for p in parents] if int(items["_elite"].iat[0]) >= 0 else []
-        best = packer.evolve(elites, hash((block, island, epoch)), generations, population)
-        items["_elite"] = _numbers(best, len(items))
-        return items[schema.names]
+        sizes = np.frombuffer(part["sizes"].iat[0], np.int32).tolist()
+        elites = [_bins(np.frombuffer(e, np.int32)) for e in part["elite"] if e is not None]
+        best = Packer(sizes, capacity).evolve(elites, hash((block, island, epoch)), generations, population)
+        return part.iloc[:1].assign(_from=island, elite=_numbers(best, len(sizes)).tobytes())
 
-    return state.groupBy("_block", "_island").applyInPandas(run, schema)
+    return state.groupBy("_block", "_island").applyInPandas(run, _STATE)
 
 
 def pack(items: DataFrame, n: int, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, salt: int = 0) -> DataFrame:
-    """Items with _block and _bin. Items: _id, piece, start, length, ids_crc32; n is their number.
+    """Items with _block, _bin, _fill and _offset. Items: _id, piece, start, length, ids_crc32; n is their number.
 
-    Items of full length take a bin alone without a search. A block's items are known by
-    their values, so a lost task can be run again; equal rows may trade places freely.
+    A block's items stand in one row, and islands have only sizes and bin numbers, so epochs and
+    migrations move eight bytes an item. Items of a block are ordered by their values, so a lost
+    task can be run again; equal rows may trade places freely.
     """
     key = F.xxhash64("_id", "piece", "start", "length", "ids_crc32", F.lit(salt))
     dealt = items.withColumn("_block", F.pmod(key, F.lit(parts_for(n, block))))
-    state = dealt.withColumn("_from", F.lit(0)).withColumn("_elite", F.lit(-1))
-    state = state.withColumn("_island", F.explode(F.array(*[F.lit(k) for k in range(islands)])))
+    names = items.columns
+
+    def gather(part: pd.DataFrame) -> pd.DataFrame:
+        ordered, sink = _order(part), io.BytesIO()
+        table = pa.Table.from_pandas(ordered[names], preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        return pd.DataFrame({"_block": ordered["_block"].iloc[:1], "sizes": [ordered["length"].to_numpy(np.int32).tobytes()], "body": [sink.getvalue()]})
+
+    blocks = materialize(dealt.groupBy("_block").applyInPandas(gather, "_block long, sizes binary, body binary"))
+    state = blocks.select("_block", F.explode(F.array(*[F.lit(k) for k in range(islands)])).alias("_island"), F.lit(0).alias("_from"), "sizes", F.lit(None).cast("binary").alias("elite"))
     for epoch in range(epochs):
         state = materialize(_epoch(state, capacity, epoch, generations, population))
-        state = state.withColumn("_from", F.col("_island"))
-        if epoch < epochs - 1:
-            to = F.array(F.col("_island"), (F.col("_island") + 1) % islands) if islands > 1 else F.array("_island")
-            state = state.withColumn("_island", F.explode(to))
+        if epoch < epochs - 1 and islands > 1:
+            state = state.withColumn("_island", F.explode(F.array(F.col("_island"), (F.col("_island") + 1) % islands)))
 
     schema = items.schema
     for name in ("_block", "_bin", "_fill", "_offset"):
         schema = schema.add(name, "long")
 
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        parents = [_order(p) for _, p in part.groupby("_from", sort=True)]
-        packer = Packer(parents[0]["length"].astype(int).tolist(), capacity)
-        best = max(parents, key=lambda p: packer.fitness(_bins(p["_elite"])))
-        best = best.rename(columns={"_elite": "_bin"})
-        best["_fill"] = best.groupby("_bin")["length"].transform("sum")
-        best["_offset"] = best.groupby("_bin")["length"].cumsum() - best["length"]
-        return best[schema.names]
-
-    return materialize(state.groupBy("_block").applyInPandas(choose, schema))
+    def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        table = pa.ipc.open_stream(left["body"].iat[0]).read_all()
+        length = table["length"].to_numpy()
+        packer = Packer(length.tolist(), capacity)
+        islands_ = right.sort_values("_island")["elite"]
+        bins = np.frombuffer(max(islands_, key=lambda e: packer.fitness(_bins(np.frombuffer(e, np.int32)))), np.int32)
+        fill = np.bincount(bins, weights=length).astype(np.int64)
+        order = np.argsort(bins, kind="stable")
+        upto = np.cumsum(length[order])
+        first = np.append(True, np.diff(bins[order]) != 0)
+        offset = np.empty(len(bins), np.int64)
+        offset[order] = upto - length[order] - np.repeat((upto - length[order])[first], np.diff(np.append(np.flatnonzero(first), len(bins))))
+        out = {f.name: table[f.name].to_pandas() for f in table.schema} | {"_block": int(left["_block"].iat[0]), "_bin": bins.astype(np.int64), "_fill": fill[bins], "_offset": offset}
+        return pd.DataFrame(out)[schema.names]
+
+    return materialize(blocks.groupBy("_block").cogroup(state.groupBy("_block")).applyInPandas(choose, schema))
 
 
 def pack_documents(docs: DataFrame, path: str, end: int = 2, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text", block: int = BLOCK, waste: float = 0.01) -> DataFrame:

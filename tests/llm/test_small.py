@@ -151,6 +151,24 @@ def test_genetic_packing_is_valid_and_tight():
     assert sorted(i for b in child for i in b) == list(range(800))
 
 
+def test_genetic_packing_beats_best_fit_decreasing():
+    """Triplets that fill bins exactly: best fit decreasing pairs the wrong ones, evolution does not."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        sizes = []
+        for _ in range(30):
+            a = rng.randrange(260, 500)
+            b = rng.randrange(260, 1024 - a - 200) if a < 560 else 260
+            sizes += [a, b, 1024 - a - b]
+        packer = packing.Packer(sizes, 1024)
+        plain = len(packer.decreasing())
+        elite = packer.evolve([], seed, 60, 10)
+        assert sorted(i for b in elite for i in b) == list(range(90))
+        assert len(elite) < plain and len(elite) <= 32
+        # Another island goes on from this one's elite and never falls behind it.
+        assert len(packer.evolve([elite], seed + 9, 5, 6)) <= len(elite)
+
+
 def test_packed_documents(spark):
     rng = random.Random(4)
     rows = [(k, prose(rng, rng.choice([5, 50, 300, 2500])), "s") for k in range(150)]
