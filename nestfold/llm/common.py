@@ -42,20 +42,25 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 #: A group of more rows is joined where its rows are; smaller ones meet by key.
-HOT_ROWS = 50_000
+HOT_ROWS = 200_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n: int, row_bytes: int = 80) -> DataFrame:
-    """Inner join of `rows` (materialized, `n` of them at most) with one row a group, nulls equal.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, n: int, row_bytes: int = 80, count: int | None = None) -> DataFrame:
+    """Inner join of `rows` (`n` of them at most) with one row a group, nulls equal.
 
-    `size` is the group's row count. Groups of more than `cap` rows are sent to every task instead
-    of their rows being shuffled by key, so no key fills a task. At most n / cap groups are that
-    large, so that groups of `row_bytes` each stay within BROADCAST_BYTES whatever the data.
+    `size` is the group's row count. Groups counted to be few are broadcast. Else groups of more
+    than `cap` rows are sent to every task instead of their rows being shuffled by key, so no key
+    fills a task. At most n / cap groups are that large, so that groups of `row_bytes` each stay
+    within BROADCAST_BYTES whatever the data; where n is no more than cap there is none.
     """
     cap = max(HOT_ROWS, n * row_bytes // BROADCAST_BYTES)
     named = groups.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
     same = lambda: [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     drop = [f"_k_{k}" for k in keys]
+    if count is not None and count * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(named), same()).drop(*drop)
+    if n <= cap:
+        return rows.join(named, same()).drop(*drop)
     hot, cold = named.filter(F.col(size) > cap), named.filter(F.col(size) <= cap)
     there = rows.join(F.broadcast(hot), same())
     rest = rows.join(F.broadcast(hot.select(*drop)), same(), "left_anti").join(cold, same())

@@ -21,12 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg")).select("u", F.least("u", "m").alias("m"), "deg")
         large = join_groups(both, least, ["u"], "deg", 2 * n).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("deg"))
         small = join_groups(large, low, ["a"], "deg", 2 * n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         release(e)
-        release(large)
         e = new
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         n = now[0]

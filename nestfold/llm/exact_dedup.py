@@ -91,7 +91,7 @@ def _grouped(others: DataFrame, id_col: str, block_bytes: int) -> DataFrame:
     named = materialize(named)
     best = named.groupBy("_level", "_name").agg(F.max(F.struct("_id", "_rid")).alias("_best"), F.count(F.lit(1)).alias("group_size"))
     best = materialize(best)
-    joined = join_groups(named, best, ["_level", "_name"], "group_size", named.count())
+    joined = join_groups(named, best, ["_level", "_name"], "group_size", named.count(), 60, best.count())
     return joined.select("_rid", "_id", F.col("_best._id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("_best._rid")).alias("kept"))
 
 

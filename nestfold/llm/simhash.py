@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from .blobs import mix
-from .common import bound_batches, join_groups, materialize, maybe_broadcast
+from .common import bound_batches, join_groups, materialize, maybe_broadcast, parts_for
 from .components import components
 
 WIDTH, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -72,7 +72,7 @@ def fingerprint(found: np.ndarray) -> list[int]:
     if not len(found):
         return [0] * WORDS
     planes = np.stack([mix(found ^ step) for step in _STEP[1 : 1 + WORDS]], 1)
-    up = np.unpackbits(planes.view(np.uint8), axis=1).sum(0, dtype=np.int64) * 2 > len(found)
+    up = np.unpackbits(planes.view(np.uint8), axis=1).sum(0, dtype=np.uint16 if len(found) < 1 << 16 else np.int64).astype(np.int64) * 2 > len(found)
     return np.packbits(up).view(np.int64).tolist()
 
 
@@ -354,7 +354,7 @@ def candidates(reps: DataFrame, n: int, similarity: float, recall: float, near:
         if rows:
             yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    prints = reps.select("_node", *_PRINT)
+    prints = reps.select("_node", *_PRINT).repartition(parts_for(n, 8192))
     columns = ", ".join(f"{p} long" for p in _PRINT)
     dealt = prints.mapInArrow(deal, f"list long, node long, {columns}")
     long = prints.mapInArrow(lengths, "list long, rows long").groupBy("list").agg(F.sum("rows").alias("rows")).filter(F.col("rows") > CHUNK)
@@ -376,6 +376,8 @@ def subset_links(reps: DataFrame) -> DataFrame:
     every = materialize(parts.union(same))
     n = every.count()
     sizes = every.groupBy("_sub").agg(F.count(F.lit(1)).alias("_m"))
+    if not n:
+        return every.select("a", F.col("_sub").alias("b"))
     stars = join_groups(every, whole.join(sizes, "_sub"), ["_sub"], "_m", n)
     return stars.filter("a <> b").select("a", "b")
 
@@ -402,7 +404,7 @@ def _verified(docs: DataFrame, reps: DataFrame, cand: DataFrame, id_col: str, te
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sizes = held.groupBy("label").agg(F.count(F.lit(1)).alias("m")).withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int"))
     sizes = materialize(sizes)
-    sized = join_groups(held, sizes, ["label"], "m", n)
+    sized = join_groups(held, sizes, ["label"], "m", n, 24, sizes.count())
     leaders = held.filter("node = label").join(sizes, "label").select("label", every("g").alias("x"), F.col("found").alias("lead"))
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +421,7 @@ def _verified(docs: DataFrame, reps: DataFrame, cand: DataFrame, id_col: str, te
     open_ = starred.groupBy("label").agg((F.count(F.lit(1)) + 1).alias("m"), total(far).alias("u"), total(lone).alias("v"))
     open_ = materialize(open_.filter("u > 0 and m > 2"))
     kinds = starred.select("node", F.when(lone, 2).when(far, 1).otherwise(0).alias("kind"))
-    rest = materialize(join_groups(held, open_, ["label"], "m", n).join(kinds, "node", "left").withColumn("kind", F.coalesce("kind", F.lit(0))))
+    rest = materialize(join_groups(held, open_, ["label"], "m", n, 40, open_.count()).join(kinds, "node", "left").withColumn("kind", F.coalesce("kind", F.lit(0))))
     # Round 0: those between (kind 1) against all. Round 1: the far ones (kind 2) against kinds 1 and 2.
     whole = rest.filter("u > v").select("*", F.lit(0).alias("round"), F.col("m").alias("all"), (F.col("u") - F.col("v")).alias("asked"), (F.col("kind") == 1).alias("far"))
     apart = rest.filter("kind > 0 and v > 0 and u > 1").select("*", F.lit(1).alias("round"), F.col("u").alias("all"), F.col("v").alias("asked"), (F.col("kind") == 2).alias("far"))
@@ -467,7 +469,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     labelled = reps.join(labels, F.col("_node") == F.col("node"), "left").select("_key", "_id", "_copies", F.coalesce("label", "_node").alias("_class"))
     labelled = materialize(labelled)
     named = materialize(labelled.groupBy("_class").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("_m")))
-    of_text = join_groups(labelled, named, ["_class"], "_m", n).select("_key", "class_id", "_copies")
+    of_text = join_groups(labelled, named, ["_class"], "_m", n, 40).select("_key", "class_id", "_copies")
     rows = prints.select("_id", "_key")
     return join_groups(rows, of_text, ["_key"], "_copies", prints.count()).select(F.col("_id").alias(id_col), "class_id", "_key")
 
