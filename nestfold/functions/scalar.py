@@ -48,7 +48,8 @@ def imod(a, b) -> Column:
 
 
 def neg(a) -> Column:
-    return -_c(a)
+    """NULL for the least long, which has no opposite."""
+    return F.try_subtract(F.lit(0), _c(a))
 
 
 def log(x) -> Column:
@@ -116,7 +117,7 @@ def mb_length(s) -> Column:
 
 
 def _text(b: Column) -> Column:
-    return F.decode(b, "UTF-8")
+    return F.make_valid_utf8(b.cast("string"))
 
 
 def substr0(s, pos, n=None) -> Column:
@@ -172,7 +173,7 @@ def regexp_contains(s, pattern: str) -> Column:
 
 
 def regexp_like(s, pattern: str) -> Column:
-    return _c(s).rlike(f"^(?:{pattern})$")
+    return _c(s).rlike(rf"^(?:{pattern})\z")
 
 
 def base64_decode_string(s) -> Column:

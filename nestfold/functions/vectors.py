@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +37,56 @@ def distance(a, b, metric: str = "l2") -> Column:
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, metric: str = "cosine", vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """The k nearest to a query; ties by id. Each task keeps k rows, so only those are sorted together."""
-    at = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select(id_col, distance(F.col(vector), at, metric).alias("distance")).filter("distance is not null").orderBy("distance", id_col).limit(k)
+    """The k nearest to a query; ties by id. Arrow batches are compared as matrices and each task keeps
+    k rows, so only those are sorted together. Vectors of another length or of no norm (cosine) are left out."""
+    q = np.array(query, np.float64)
+    name = metric.replace("euclidean", "l2")
+    if name not in ("l2", "l2_squared", "dot", "cosine"):
+        raise ValueError(f"no such metric: {metric}")
+
+    def measure(m: np.ndarray) -> np.ndarray:
+        if name == "dot":
+            return -(m @ q)
+        if name == "cosine":
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return 1 - (m @ q) / (np.sqrt((m * m).sum(1)) * np.sqrt(q @ q))
+        square = ((m - q) ** 2).sum(1)
+        return square if name == "l2_squared" else np.sqrt(square)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), len(q)), False))
+            if not batch.num_rows:
+                continue
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            found = pa.table({id_col: batch.column(0), "distance": measure(flat.reshape(batch.num_rows, len(q)))})
+            found = found.filter(pc.is_finite(found["distance"]))
+            best = pa.concat_tables([best, found]) if best is not None else found
+            best = best.sort_by([("distance", "ascending"), (id_col, "ascending")]).slice(0, k)
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    slim = vectors.select(id_col, vector)
+    near = slim.mapInArrow(run, slim.drop(vector).schema.add("distance", "double"))
+    return near.orderBy("distance", id_col).limit(k)
+
+
+def ivf_cells(vectors: DataFrame, centres: list[list[float]], vector: str = "embedding") -> DataFrame:
+    """`vectors` with `cell`, the index of the nearest centre: write it partitioned or bucketed by cell to probe it."""
+    return vectors.withColumn("cell", nearest(F.col(vector), centres)["index"])
+
+
+def ivf_census(cells: DataFrame) -> DataFrame:
+    """cell and n, how many vectors it holds."""
+    return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ivf_probe(cells: DataFrame, centres: list[list[float]], query: list[float], k: int, probes: int, metric: str = "l2", vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """`top_k` of the `probes` cells whose centres are nearest to the query; other cells are not read."""
+    far = [sum((a - b) ** 2 for a, b in zip(c, query, strict=True)) for c in centres]
+    near = sorted(range(len(centres)), key=far.__getitem__)[:probes]
+    return top_k(cells.filter(F.col("cell").isin(near)), query, k, metric, vector, id_col)
 
 
 def nearest(vector, centroids: list[list[float]], metric: str = "l2") -> Column:

@@ -43,8 +43,17 @@ def geomean(x: Column) -> Column:
     return F.exp(F.avg(F.when(x > 0, F.ln(x))))
 
 
-def decimal_sum(x: Column, scale: int = 2) -> Column:
-    return F.sum(x.cast(f"decimal(38,{scale})"))
+def decimal_sum(x: Column, scale: int = 18) -> Column:
+    """Exact sum of decimal texts, decimals or numbers (by their shortest text), with `scale` places.
+
+    Values that are no numbers are skipped; NULL where the sum has more than 38 digits. A value of
+    more than `scale` places raises instead of being rounded.
+    """
+    kind = f"decimal(38,{scale})"
+    text = x.cast("string")
+    found = text.try_cast(kind)
+    cut = F.length(F.regexp_extract(text, r"\.([0-9]*?)0*$", 1)) > scale
+    return F.try_sum(F.when(cut, F.raise_error(F.concat(F.lit(f"more than {scale} decimal places: "), text)).cast(kind)).otherwise(found))
 
 
 def hll(x: Column) -> Column:

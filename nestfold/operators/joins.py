@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nestfold.plans.lineage import materialize
+
 
 def _row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
@@ -37,7 +39,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
         w = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         joined = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w))
     else:
-        joined = _carried(both, order)
+        joined = _carried(both, order, back)
     joined = joined.filter("_side = 1")
     matched = F.col("_key").isNotNull()
     if tolerance is not None:
@@ -49,32 +51,33 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     return joined.select("_l.*", F.col("_m").alias(out))
 
 
-def _carried(both: DataFrame, order: list[Column], ranges: int = 64) -> DataFrame:
+#: Rows of a range of `_carried`, about.
+RANGE_ROWS = 500_000
+
+
+def _carried(both: DataFrame, order: list[Column], back: bool) -> DataFrame:
     """The window of `asof_join` without equality keys: ranges of the key, and what each hands on.
 
-    A range's last right row is one row; carrying those over all ranges is a window of
-    `ranges` rows.
+    Ranges are cut at sampled keys, so that they are even however the keys lie, and there are as
+    many as the rows ask for; rows of one key stay together. A range's last right row is one row;
+    carrying those over all ranges is a window of one row a range.
     """
-    both = both.withColumn("_n", F.col("_key").cast("double"))
-    low, high = both.agg(F.min("_n"), F.max("_n")).first()
-    width = ((high or 0.0) - (low or 0.0)) / ranges or 1.0
-    both = both.withColumn("_range", F.when(F.col("_n").isNull(), -1).otherwise(F.least(F.floor((F.col("_n") - F.lit(low or 0.0)) / width), F.lit(ranges - 1))))
+    ranges = max(1, both.count() // RANGE_ROWS)
+    dealt = both.repartitionByRange(ranges, "_key").withColumn("_range", F.spark_partition_id())
+    both = materialize(dealt)  # so that all that follows sees one cut
     w = Window.partitionBy("_range").orderBy(*order)
     own = both.withColumn("_own", F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    ends = both.filter("_side = 0").withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy(*[_flip(c) for c in order]))).filter("_rn = 1").select("_range", F.col("_r").alias("_end"))
-    every = both.select("_range").distinct().join(ends, "_range", "left")
-    first_key = order[0]
-    step = F.col("_range").desc() if "DESC" in str(first_key) else F.col("_range").asc()
+    # Right rows come before left ones of their key, in either direction.
+    pick = F.max if back else F.min
+    ends = both.filter("_side = 0").groupBy("_range").agg(pick(F.struct("_key", "_tie")).alias("_e"))
+    last = both.filter("_side = 0").join(ends, "_range").filter((F.col("_key") == F.col("_e._key")) & F.col("_tie").eqNullSafe(F.col("_e._tie")))
+    last = last.groupBy("_range").agg(F.first("_r").alias("_end"))
+    every = both.select("_range").distinct().join(last, "_range", "left")
+    step = F.col("_range").asc() if back else F.col("_range").desc()
     carry = every.withColumn("_before", F.last("_end", ignorenulls=True).over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)))
     return own.join(carry.select("_range", "_before"), "_range").withColumn("_m", F.coalesce("_own", "_before"))
 
 
-def _flip(c: Column) -> Column:
-    text = str(c)
-    name = text.split("'")[1].split(" ")[0]
-    return F.col(name).asc() if "DESC" in text else F.col(name).desc()
-
-
 def nest(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], name: str, how: str = "inner", order: list[str] | None = None) -> DataFrame:
     """Left rows with an array of their matches; how="left" keeps rows without any, with [].
 

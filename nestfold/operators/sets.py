@@ -59,11 +59,16 @@ def ordered_merge(key: str, position: str, bound: float, frames: dict[str, DataF
     return every.filter(F.col(key).isNotNull()).orderBy(key, "_source", position)
 
 
+class TooDeep(RecursionError):
+    """A recursion has not ended within its levels."""
+
+
 def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], levels: int = 100, distinct: bool = True, key: list[str] | None = None) -> DataFrame:
     """WITH RECURSIVE: `step` makes new rows of the last level's rows, until there are none.
 
     distinct: rows (by `key`, else whole) that were there before are dropped, which ends cycles.
-    Each level is written into the shared folder, so plans stay short.
+    Each level is written into the shared folder, so plans stay short. Raises `TooDeep` if there
+    are new rows after `levels` levels: nothing is left out in silence.
     """
     found = seed.distinct() if distinct else seed
     level = found = materialize(found)
@@ -77,4 +82,6 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], levels: i
         if level.isEmpty():
             break
         found = found.union(level)
+    else:
+        raise TooDeep(f"there are new rows after {levels} levels")
     return found

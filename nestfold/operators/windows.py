@@ -26,13 +26,30 @@ def exclude_frame(df: DataFrame, partition: list[str], order: list[str], before:
     """An aggregate (sum, count, min, max, avg) over a ROWS or GROUPS frame without current_row, group or ties.
 
     `unique` orders peers, so that the frame is well defined. NULL (0 for count) where
-    nothing is left.
+    nothing is left. Sums and counts of what is excluded are subtracted; only least and largest
+    values collect their frame.
     """
     spec = _spec(partition, [*order, unique])
     numbered = df.withColumn("_g", F.dense_rank().over(_spec(partition, order))).withColumn("_rn", F.row_number().over(spec))
     low = Window.unboundedPreceding if before is None else -before
     high = Window.unboundedFollowing if after is None else after
     w = spec.rowsBetween(low, high) if unit == "rows" else _spec(partition, ["_g"]).rangeBetween(low, high)
+    if agg in ("sum", "count", "avg") and (before is None or before >= 0) and (after is None or after >= 0):
+        x = F.col(value).cast("double")
+        peers = Window.partitionBy(*partition, "_g").orderBy(unique)
+        peers = peers.rowsBetween(low, high) if unit == "rows" else peers.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+        def left(over, own: Column) -> Column:
+            """An aggregate of the frame without that of the excluded rows."""
+            out = over(w)
+            if exclude in ("group", "ties"):
+                out = out - over(peers)
+            return out - own if exclude == "current_row" else out + own if exclude == "ties" else out
+
+        n = left(lambda o: F.count(x).over(o), x.isNotNull().cast("long"))
+        total = left(lambda o: F.coalesce(F.sum(x).over(o), F.lit(0.0)), F.coalesce(x, F.lit(0.0)))
+        made = {"count": n, "sum": F.when(n > 0, total), "avg": F.when(n > 0, total / n)}[agg]
+        return numbered.withColumn(out, made).drop("_g", "_rn")
     held = numbered.withColumn("_frame", F.collect_list(F.struct("_rn", "_g", F.col(value).alias("x"))).over(w))
     keep = {
         "current_row": lambda e: e["_rn"] != F.col("_rn"),

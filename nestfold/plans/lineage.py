@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster set it; a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir as the cluster set it; a temporary folder in local mode (tests) where it is unset.
+
+    Elsewhere an unset folder raises: executors would each write to a disk of their own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="nestfold-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

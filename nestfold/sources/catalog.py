@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nestfold.plans.lineage import materialize
+
 from .readers import READERS, extension, read
 
 
@@ -70,8 +72,10 @@ _MODES = {"new": "errorifexists", "append": "append", "overwrite": "overwrite"}
 def insert_into(df: DataFrame, path: str, mode: str = "new") -> DataFrame:
     """Write to x.jsonl, x.json, x.csv or x.parquet and return the rows written (RETURNING).
 
-    mode: new (fails if the table is there), append or overwrite.
+    mode: new (fails if the table is there), append or overwrite. The rows are made once, in the
+    shared folder, so that what comes back is what was written and the query does not run again.
     """
+    df = materialize(df)
     writer = df.write.mode(_MODES[mode])
     kind = extension(path)
     if kind in ("jsonl", "json", "ndjson"):

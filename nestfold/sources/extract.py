@@ -31,8 +31,8 @@ def framed(spark: SparkSession, path: str, spec: ExtractSpec) -> DataFrame:
     split and the counts of splits added up, so that a large file is not one task's work.
     """
     if spec.framing == "whole":
-        return spark.read.text(path, wholetext=True).selectExpr("_metadata.file_name as file", "0L as n", "value as record")
-    lines = spark.read.text(path).selectExpr("_metadata.file_name as file", "monotonically_increasing_id() as at", "value as line")
+        return spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path as file", "0L as n", "value as record")
+    lines = spark.read.text(path).selectExpr("_metadata.file_path as file", "monotonically_increasing_id() as at", "value as line")
     if spec.framing in ("line", "json"):
         return lines.select("file", F.col("at").alias("n"), F.col("line").alias("record"))
     marked = lines.withColumn("split", F.shiftright("at", 33)).withColumn("new", F.col("line").rlike(spec.start).cast("long"))

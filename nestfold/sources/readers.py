@@ -29,9 +29,12 @@ def typed_cell(cell: Column) -> Column:
     return F.when((cell != "") & cell.isNotNull(), F.try_parse_json(text))
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", typed: bool = False) -> DataFrame:
-    """Columns of text, or with `typed` of variants whose types are found cell by cell."""
-    df = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, sep: str = ",", typed: bool = False, multiline: bool = False) -> DataFrame:
+    """Columns of text, or with `typed` of variants whose types are found cell by cell.
+
+    Large files are read in splits; with `multiline` cells may hold line breaks, and a file is one task's.
+    """
+    df = spark.read.option("header", True).option("sep", sep).option("multiLine", multiline).option("escape", '"').csv(path)
     return df.select(*[typed_cell(F.col(f"`{c}`")).alias(c) for c in df.columns]) if typed else df
 
 
@@ -236,5 +239,5 @@ def read(spark: SparkSession, path: str, only: set[str] | None = None) -> DataFr
 
 
 def with_meta(df: DataFrame) -> DataFrame:
-    """Adds _id (file name and, in files of many rows, a row number) and _meta."""
-    return df.selectExpr("*", f"{META} as _meta", "concat(_metadata.file_name, '@', monotonically_increasing_id()) as _id")
+    """Adds _id (file path and, in files of many rows, a row number) and _meta."""
+    return df.selectExpr("*", f"{META} as _meta", "concat(_metadata.file_path, '@', monotonically_increasing_id()) as _id")

@@ -2,14 +2,15 @@
 
 import io
 import json
+import random
 import zipfile
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from nestfold.functions import arrays, dates, scalar, variants
-from nestfold.operators import aggregates, joins, sets
+from nestfold.functions import arrays, dates, registry, scalar, variants, vectors
+from nestfold.operators import aggregates, joins, sets, windows
 from nestfold.plans import querypack
 from nestfold.session import Engine
 from nestfold.sources import catalog, extract, readers
@@ -260,3 +261,58 @@ def test_registry(spark):
     assert spark.sql("SELECT geomean(x) AS g FROM VALUES (2D), (8D), (-1D) AS t(x)").first()["g"] == pytest.approx(4.0)
     for name in names:
         registry.unregister(spark, name)
+
+
+def test_recursion_that_does_not_end_is_loud(spark):
+    step = lambda level: level.select((F.col("n") + 1).alias("n"))
+    with pytest.raises(sets.TooDeep):
+        sets.recursive(spark.createDataFrame([(1,)], "n int"), step, levels=3)
+
+
+def test_exact_decimals(spark):
+    registry.register_all(spark)
+    rows = [("0.1", "0.2"), ("1", "2.50"), ("123456789012345678", "1"), ("1.5", "1.5"), ("abc", "1"), (None, "1"), ("9" * 60, "0." + "0" * 30 + "1"), ("-0.10", "0.1")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = spark.sql("SELECT decimal_add(a, b) AS s, decimal_mul(a, b) AS m, decimal_cmp(a, b) AS c FROM {d}", d=df).collect()
+    assert [r["s"] for r in got] == ["0.3", "3.5", "123456789012345679", "3", None, None, "9" * 60 + "." + "0" * 30 + "1", "0"]
+    assert [r["m"] for r in got] == ["0.02", "2.5", "123456789012345678", "2.25", None, None, "9" * 29 + "." + "9" * 31, "-0.01"]
+    assert [r["c"] for r in got] == [-1, -1, 1, 0, None, None, 1, -1]
+    sums = spark.createDataFrame([("0.001",), ("0.002",), ("x",), (None,)], "x string").agg(aggregates.decimal_sum(F.col("x")).cast("string").alias("s")).first()["s"]
+    assert sums.rstrip("0") == "0.003"
+
+
+def test_edges_of_scalars(spark):
+    df = spark.createDataFrame([(-(2**63), "abc\n", "añb")], "n long, s string, t string")
+    r = df.select(scalar.neg(F.col("n")).alias("n"), scalar.regexp_like(F.col("s"), "abc").alias("l"), scalar.substr0(F.col("t"), 0, 2).alias("t")).first()
+    assert r["n"] is None and r["l"] is False and r["t"] == "a�"
+
+
+def test_exclude_by_subtraction_equals_collected_frames(spark):
+    rng = random.Random(3)
+    rows = [(k % 3, rng.randrange(6), k, rng.choice([None, 1.0, 2.0, 5.0])) for k in range(90)]
+    df = spark.createDataFrame(rows, "p int, o int, u int, x double")
+    for unit in ("rows", "groups"):
+        for exclude in ("current_row", "group", "ties", "no_others"):
+            for before, after in ((2, 1), (None, 0), (0, None)):
+                out = windows.exclude_frame(df, ["p"], ["o"], before, after, exclude, "x", "u", "s", "sum", unit)
+                out = windows.exclude_frame(out, ["p"], ["o"], before, after, exclude, "x", "u", "c", "count", unit)
+                for r in out.collect():
+                    part = sorted((q for q in rows if q[0] == r["p"]), key=lambda q: (q[1], q[2]))
+                    at = next(k for k, q in enumerate(part) if q[2] == r["u"])
+                    groups = sorted({q[1] for q in part})
+                    g = groups.index(r["o"])
+                    place = (lambda k, q: k - at) if unit == "rows" else (lambda k, q: groups.index(q[1]) - g)  # noqa: B023
+                    frame = [q for k, q in enumerate(part) if (before is None or place(k, q) >= -before) and (after is None or place(k, q) <= after)]
+                    gone = {"current_row": lambda q: q[2] == r["u"], "group": lambda q: q[1] == r["o"], "ties": lambda q: q[1] == r["o"] and q[2] != r["u"], "no_others": lambda q: False}[exclude]  # noqa: B023
+                    xs = [q[3] for q in frame if not gone(q) and q[3] is not None]
+                    assert (r["c"], r["s"]) == (len(xs), sum(xs) if xs else None)
+
+
+def test_vectors_in_cells(spark):
+    rows = [(k, [float(k % 7), float(k % 3)]) for k in range(60)] + [(90, None), (91, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    centres = [[0.0, 0.0], [6.0, 2.0]]
+    cells = vectors.ivf_cells(df.filter("vec_id < 60"), centres)
+    assert sum(r["n"] for r in vectors.ivf_census(cells).collect()) == 60
+    near = [r["vec_id"] for r in vectors.ivf_probe(cells, centres, [6.0, 2.0], 3, 1).collect()]
+    assert near == [r["vec_id"] for r in vectors.top_k(df, [6.0, 2.0], 3, "l2").collect()] == [20, 41, 5]
