@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestfold.plans.lineage import materialize
+
 
 def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """term, id, tf (times in the document) and dl (the document's terms)."""
@@ -40,7 +42,7 @@ def search(index: DataFrame, must: list[str] = (), should: list[str] = (), must_
 
 
 def scan_search(df: DataFrame, id_col: str, text: str, must: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id and BM25 score of the documents with all of `must`, without an index: two narrow scans, no shuffle of terms.
+    """id and BM25 score of the documents with all of `must`, without an index: one scan of the texts, no shuffle of terms.
 
     Times of the wanted terms are counted inside each document, without splitting it; only one
     row of statistics is broadcast.
@@ -48,7 +50,7 @@ def scan_search(df: DataFrame, id_col: str, text: str, must: list[str], k1: floa
     low = df.select(F.col(id_col).alias("id"), F.lower(F.col(text)).alias("low"))
     tf = lambda term: F.regexp_count("low", F.lit(rf"(?<!\w)\Q{term}\E(?!\w)"))
     counted = low.select("id", F.regexp_count("low", F.lit(r"\w+")).alias("dl"), *[tf(w).alias(f"tf{k}") for k, w in enumerate(must)])
-    filled = counted.filter("dl > 0")
+    filled = materialize(counted.filter("dl > 0"))  # counts only, so that texts are read once
     stats = filled.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(must))])
     hits = filled
     for k in range(len(must)):
