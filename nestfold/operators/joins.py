@@ -93,6 +93,17 @@ def nest(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], name: str
     return out.withColumn(name, F.coalesce(name, F.array())) if how == "left" else out
 
 
+def lateral(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], order: list[Column], n: int = 1, how: str = "inner") -> DataFrame:
+    """Each left row with the first `n` right rows of its keys in `order`; how="left" keeps rows without any.
+
+    LATERAL with ORDER BY and LIMIT in SQL is not this: Spark ranks the rows without the ORDER BY
+    where that names a column that is not selected, and so takes whichever row a shuffle brings first.
+    """
+    ranked = right.withColumn("_rank", F.row_number().over(Window.partitionBy(*[F.col(f"`{r}`") for _, r in on]).orderBy(*order)))
+    first = ranked.filter(F.col("_rank") <= n).drop("_rank")
+    return left.join(first, reduce(lambda a, b: a & b, [left[a] == first[b] for a, b in on]), how)
+
+
 def join_on_keys(left: DataFrame, keys: Column, right: DataFrame, right_key: str, how: str = "inner") -> DataFrame:
     """ON KEYS: each left row with the right rows whose key is in its key, or array of keys."""
     exploded = left.withColumn("_key", F.explode_outer(keys) if how == "left" else F.explode(keys))

@@ -6,9 +6,11 @@ import random
 import zipfile
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from nestfold import queries
 from nestfold.functions import arrays, dates, registry, scalar, variants, vectors
 from nestfold.operators import aggregates, joins, sets, windows
 from nestfold.plans import querypack
@@ -316,3 +318,22 @@ def test_vectors_in_cells(spark):
     assert sum(r["n"] for r in vectors.ivf_census(cells).collect()) == 60
     near = [r["vec_id"] for r in vectors.ivf_probe(cells, centres, [6.0, 2.0], 3, 1).collect()]
     assert near == [r["vec_id"] for r in vectors.top_k(df, [6.0, 2.0], 3, "l2").collect()] == [20, 41, 5]
+
+
+def lateral_twins(spark, folder, name):
+    """Rows of a lateral query and of its SQL on ties and nulls, and the window that ranks."""
+    spark.createDataFrame([(1,), (2,), (3,), (None,)], "c_custkey long").write.parquet(f"{folder}/customer.parquet")
+    orders = [(10, 1, 5.0), (None, 1, 5.0), (9, 1, 5.0), (8, 1, None), (7, 1, 2.0), (6, 2, None), (5, 2, 1.0), (4, 2, 1.0), (None, 2, 1.0), (3, None, 1.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    df = queries.QUERIES[name](spark, str(folder))
+    rows = lambda found: sorted(map(tuple, found), key=str)
+    return rows(df.collect()), rows(con.execute(queries.ORACLE[name]).fetchall()), df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lateral_ranks_in_its_order(spark, tmp_path):
+    got, want, plan = lateral_twins(spark, tmp_path, "join_lateral")
+    assert got == want == [(1, 9), (2, 4)]
+    assert "o_totalprice" in next(line for line in plan.splitlines() if "row_number()" in line)
