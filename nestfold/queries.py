@@ -108,7 +108,6 @@ same("join_band", "SELECT l_orderkey, l_linenumber, o_orderkey FROM {lineitem} J
 same("join_left_band", "SELECT o_orderkey, l_linenumber FROM {orders} LEFT JOIN {lineitem} ON l_orderkey = o_orderkey AND l_quantity > 48")
 same("join_semi", "SELECT c_custkey FROM {customer} LEFT SEMI JOIN {orders} ON o_custkey = c_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey")
 same("join_anti", "SELECT c_custkey FROM {customer} LEFT ANTI JOIN {orders} ON o_custkey = c_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
-same("join_lateral_left", "SELECT c_custkey, x.o_orderkey FROM {customer} c LEFT JOIN LATERAL (SELECT o_orderkey FROM {orders} o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice, o_orderkey LIMIT 1) x ON true")
 same("join_merge_hint", "SELECT /*+ MERGE(o) */ l_orderkey, l_linenumber, o_orderdate FROM {lineitem} l JOIN {orders} o ON l_orderkey = o_orderkey")
 
 
@@ -118,6 +117,12 @@ def join_lateral(t):
     return joins.lateral(t("customer"), t("orders").select("o_orderkey", "o_custkey", "o_totalprice"), [("c_custkey", "o_custkey")], order).select("c_custkey", "o_orderkey")
 
 
+@query("SELECT c_custkey, x.o_orderkey FROM customer c LEFT JOIN LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice, o_orderkey LIMIT 1) x ON true")
+def join_lateral_left(t):
+    order = [F.asc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")]
+    return joins.lateral(t("customer"), t("orders").select("o_orderkey", "o_custkey", "o_totalprice"), [("c_custkey", "o_custkey")], order, how="left").select("c_custkey", "o_orderkey")
+
+
 @query("SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice / 100 BETWEEN p_retailprice AND p_retailprice + 5")
 def join_range(t):
     o = t("orders").withColumn("at", F.col("o_totalprice") / 100)

@@ -337,3 +337,9 @@ def test_lateral_ranks_in_its_order(spark, tmp_path):
     got, want, plan = lateral_twins(spark, tmp_path, "join_lateral")
     assert got == want == [(1, 9), (2, 4)]
     assert "o_totalprice" in next(line for line in plan.splitlines() if "row_number()" in line)
+
+
+def test_lateral_left_ranks_in_its_order(spark, tmp_path):
+    got, want, plan = lateral_twins(spark, tmp_path, "join_lateral_left")
+    assert got == want == [(1, 7), (2, 4), (3, None), (None, None)]
+    assert "o_totalprice" in next(line for line in plan.splitlines() if "row_number()" in line)
