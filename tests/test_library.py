@@ -343,3 +343,19 @@ def test_lateral_left_ranks_in_its_order(spark, tmp_path):
     got, want, plan = lateral_twins(spark, tmp_path, "join_lateral_left")
     assert got == want == [(1, 7), (2, 4), (3, None), (None, None)]
     assert "o_totalprice" in next(line for line in plan.splitlines() if "row_number()" in line)
+
+
+@pytest.mark.parametrize("by", [None, [("g", "h")]])
+def test_range_join_cuts_what_a_bin_holds(spark, monkeypatch, by):
+    monkeypatch.setattr(joins, "RANGE_BLOCK", (100, 50), raising=False)
+    monkeypatch.setattr(joins, "RANGE_PAIRS", 10_000, raising=False)
+    points = [(i, i % 3, 5.0 if i % 4 else i / 10) for i in range(1000)] + [(1000, 0, None), (1001, None, 5.0), (5, 2, 5.0), (5, 2, 5.0)]
+    spans = [(i, i % 2, float(i % 5), i % 5 + 3.0) for i in range(400)] + [(400, 0, -50.0, 120.0), (401, 0, None, 9.0), (402, 0, 9.0, 1.0), (403, None, 0.0, 9.0), (7, 1, 5.0, 5.0), (7, 1, 5.0, 5.0)]
+    left, right = spark.createDataFrame(points, "id long, g long, at double"), spark.createDataFrame(spans, "span long, h long, low double, top double")
+    got = joins.range_join(left, right, "at", "low", "top", 50.0, by).withColumn("task", F.spark_partition_id())
+    assert got.columns == [*left.columns, *right.columns, "task"]
+    rows = got.collect()
+    want = [(i, s) for i, g, at in points for s, h, low, top in spans if None not in (at, low) and low <= at <= top and (not by or (g is not None and g == h))]
+    assert sorted((r["id"], r["span"]) for r in rows) == sorted(want)
+    tasks = [r["task"] for r in rows]
+    assert len(set(tasks)) >= 8 and max(map(tasks.count, set(tasks))) < len(rows) / 2
