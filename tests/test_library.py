@@ -15,7 +15,7 @@ from nestfold.functions import arrays, dates, registry, scalar, variants, vector
 from nestfold.operators import aggregates, joins, sets, windows
 from nestfold.plans import querypack
 from nestfold.session import Engine
-from nestfold.sources import catalog, extract, readers
+from nestfold.sources import catalog, extract, readers, search
 from nestfold.streaming import cursors
 
 
@@ -359,3 +359,15 @@ def test_range_join_cuts_what_a_bin_holds(spark, monkeypatch, by):
     assert sorted((r["id"], r["span"]) for r in rows) == sorted(want)
     tasks = [r["task"] for r in rows]
     assert len(set(tasks)) >= 8 and max(map(tasks.count, set(tasks))) < len(rows) / 2
+
+
+def test_search_index_counts_in_rows(spark, tmp_path):
+    texts = [(1, "The nter the"), (2, "the x"), (1, "nter y y"), (3, ""), (4, None), (5, " ... "), (6, "nter, THE"), (7, "z")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    index = search.inverted_index(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "text")
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    got = queries.QUERIES["search_bm25"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.ORACLE["search_bm25"]).fetchall())
+    assert len(got) == 2
