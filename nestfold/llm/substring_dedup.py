@@ -14,7 +14,9 @@ the windows of one anchor travel as one run and the first pass orders runs inste
    the windows in them are sorted by the anchor's place and then eight bytes a pass; groups of
    one drop out after each pass.
 
-Documents stay in blocks; runs are made distinct within a block before they are shuffled.
+Documents stay in blocks; runs are made distinct within a block before they are shuffled. Texts
+are written once and shuffled once: both steps that read them beside what buckets answer take
+the same exchange, so they are one plan, with nothing written in between.
 """
 
 from __future__ import annotations
@@ -219,34 +221,35 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
         for block, ids, texts in blocks(batches, block_bytes):
             order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] or 0))
             joined = b"".join(texts[k] for k in order)
-            body = pack(np.array([len(texts[k]) for k in order], np.int64), np.frombuffer(joined, np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(joined)]), pa.array([[ids[k] for k in order]], pa.list_(pa.int64())), pa.array([body], pa.binary())], ["block", "n", "ids", "body"])
+            known = np.array([ids[k] is not None for k in order])
+            numbers = np.array([np.iinfo(np.int64).min if ids[k] is None else ids[k] for k in order], np.int64)
+            body = pack(numbers, known, np.array([len(texts[k]) for k in order], np.int64), np.frombuffer(joined, np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(joined)]), pa.array([body], pa.binary())], ["block", "n", "body"])
 
-    table = materialize(slim.mapInArrow(gather, "block long, n long, ids array<long>, body binary"))
+    table = materialize(slim.mapInArrow(gather, "block long, n long, body binary"))
     buckets = parts_for(table.agg(F.sum("n")).first()[0] or 0, bucket_bytes)
 
-    def texts_of(body: bytes) -> list[bytes]:
-        lengths, joined = unpack(body)
+    def documents(body: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Texts of a block; their ids, the smallest number for null; which ids are not null."""
+        ids, known, lengths, joined = unpack(body)
         raw, at = joined.tobytes(), np.cumsum(lengths)
-        return [raw[b - n : b] for n, b in zip(lengths.tolist(), at.tolist(), strict=True)]
+        return [raw[b - n : b] for n, b in zip(lengths.tolist(), at.tolist(), strict=True)], ids, known
 
     def distinct(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
         """Runs in the order of their keys; which of them are the first of their kind in the block."""
         order = np.lexsort((runs.lo, runs.kind, runs.key))
         return order, _first_of(runs.key[order], runs.kind[order])
 
-    def numbers(ids) -> np.ndarray:
-        return np.array([np.iinfo(np.int64).min if i is None or i != i else int(i) for i in ids], np.int64)
-
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, ids, body in zip(*batch.columns, strict=True):
-                runs = Runs(texts_of(body.as_py()), span)
+            for block, body in zip(*batch.columns, strict=True):
+                texts, of, _ = documents(body.as_py())
+                runs = Runs(texts, span)
                 order, first = distinct(runs)
-                mine, of = order[first], numbers(ids.as_py())
+                mine = order[first]
                 key = runs.key[mine]
                 kind, doc = runs.kind[mine], of[runs.doc[mine]]
-                del runs, order, first, mine
+                del texts, runs, order, first, mine
                 found = [(b, pack(deltas(key[s:e]), kind[s:e], doc[s:e])) for b, s, e in split(key, buckets)]
                 numbers_, blobs = [b for b, _ in found], [x for _, x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(numbers_, pa.int32()), pa.array([block.as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block", "body"])
@@ -282,20 +285,20 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
         return pd.DataFrame({"block": part["block"], "bucket": part["bucket"], "body": out}).dropna()
 
     columns = "block long, bucket int, body binary"
-    sorted_runs = table.select("block", "ids", "body").mapInArrow(explode, "bucket int, block long, body binary").groupBy("bucket").applyInPandas(sort_runs, columns)
+    sorted_runs = table.select("block", "body").mapInArrow(explode, "bucket int, block long, body binary").groupBy("bucket").applyInPandas(sort_runs, columns)
 
     def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Rows of three sorts: results (sort 0), bytes of runs by bucket (1), texts and removed windows so far (2)."""
-        block, ids = int(left["block"].iat[0]), list(left["ids"].iat[0])
-        texts = texts_of(left["body"].iat[0])
-        runs, of = Runs(texts, span), numbers(ids)
+        """Rows to a bucket, with the bytes of runs, and one to -1 - block, with the windows that are removed by now."""
+        block = int(left["block"].iat[0])
+        texts, of, _ = documents(left["body"].iat[0])
+        runs = Runs(texts, span)
         order, first = distinct(runs)
         mine = order[first]
         edges, state = bucket_edges(runs.key[mine], buckets), np.zeros(len(mine), np.int8)
         for bucket, body in zip(right["bucket"], right["body"], strict=True):
             where, what = unpack(body)
             state[edges[bucket] + ascending(where)] = what
-        gone = np.concatenate([order[~first], mine[state == 1]])
+        gone = np.sort(np.concatenate([order[~first], mine[state == 1]]))
         rows = []
         for b, s, e in split(runs.key[mine], buckets):
             some = mine[s:e][state[s:e] == 2]
@@ -303,27 +306,21 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
                 lo, hi = runs.lo[some], runs.hi[some]
                 size = hi - lo + span
                 take = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                rows.append((1, block, b, pack(runs.key[some], (runs.anchor[some] - lo).astype(np.int32), (hi - lo).astype(np.int32), of[runs.doc[some]], lo, runs.buf[take]), None, None, None, None, None))
-        touched = np.zeros(len(texts), bool)
-        touched[runs.doc[gone]] = True
-        touched[runs.doc[mine[state == 2]]] = True
-        for k in np.flatnonzero(~touched).tolist():
-            i = None if of[k] == np.iinfo(np.int64).min else int(of[k])
-            rows.append((0, block, None, None, i, len(texts[k]), 0, 0, hashlib.sha256(texts[k]).hexdigest()))
-        held = np.flatnonzero(touched)
-        if len(held):
-            joined = np.frombuffer(b"".join(texts[k] for k in held.tolist()), np.uint8)
-            rows.append((2, block, None, pack(of[held], runs.lengths[held], runs.starts[held], runs.lo[gone], runs.hi[gone], joined), None, None, None, None, None))
-        out = pd.DataFrame(rows, columns=["sort", "block", "bucket", "body", "_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        for c in ("bucket", "_id", "n_bytes", "n_removed", "n_spans"):
-            out[c] = out[c].astype("Int64")
+                rows.append((b, block, pack(runs.key[some], (runs.anchor[some] - lo).astype(np.int32), (hi - lo).astype(np.int32), of[runs.doc[some]], lo, runs.buf[take])))
+        if len(gone):
+            lo, hi = runs.lo[gone], runs.hi[gone]
+            new = np.append(True, (lo[1:] != hi[:-1] + 1) | np.diff(runs.doc[gone]).astype(bool))
+            rows.append((-1 - block, block, pack(lo[new], hi[np.append(new[1:], True)])))
         del runs, texts
         give_back()
-        return out
+        return pd.DataFrame(rows, columns=["to", "block", "body"])
 
-    judged = materialize(table.select("block", "ids", "body").groupBy("block").cogroup(sorted_runs.groupBy("block")).applyInPandas(judge, "sort int, block long, bucket int, body binary, " + _RESULT))
+    by_block = table.select("block", "body").groupBy("block")
+    judged = by_block.cogroup(sorted_runs.groupBy("block")).applyInPandas(judge, "to long, block long, body binary")
 
     def sort_windows(part: pd.DataFrame) -> pd.DataFrame:
+        if part["to"].iat[0] < 0:
+            return part[["block", "body"]]
         part = part.sort_values("block", ignore_index=True)
         got = [unpack(b) for b in part["body"]]
         of_block = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
@@ -361,22 +358,15 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", t
                 rows.append((int(part["block"].iat[k]), pack(*_ranges(where[a:b]))))
         return pd.DataFrame(rows, columns=["block", "body"])
 
-    late = judged.filter("sort = 1").select("bucket", "block", "body").groupBy("bucket").applyInPandas(sort_windows, "block long, body binary")
+    late = judged.groupBy("to").applyInPandas(sort_windows, "block long, body binary")
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({c.split()[0]: [] for c in _RESULT.split(", ")})
-        of, lengths, starts, lo, hi, joined = unpack(left["body"].iat[0])
-        raw, at = joined.tobytes(), np.cumsum(lengths)
-        texts = [raw[b - n : b] for n, b in zip(lengths.tolist(), at.tolist(), strict=True)]
-        more = [unpack(b) for b in right["body"]]
-        lo = np.concatenate([lo, *(m[0] for m in more)])
-        hi = np.concatenate([hi, *(m[1] for m in more)])
-        out = pd.DataFrame(_digests(texts, starts, lo, hi, span), columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        out.insert(0, "_id", pd.array([None if i == np.iinfo(np.int64).min else i for i in of.tolist()], "Int64"))
+        texts, ids, known = documents(left["body"].iat[0])
+        lengths = np.array([len(t) for t in texts], np.int64)
+        removed = [unpack(b) for b in right["body"]]
+        lo, hi = (np.concatenate([np.empty(0, np.int64), *(r[k] for r in removed)]) for k in range(2))
+        out = pd.DataFrame(_digests(texts, np.cumsum(lengths) - lengths, lo, hi, span), columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        out.insert(0, "_id", pd.arrays.IntegerArray(ids, ~known))
         return out
 
-    texts = judged.filter("sort = 2").select("block", "body")
-    rest = texts.groupBy("block").cogroup(late.groupBy("block")).applyInPandas(finish, _RESULT)
-    done = judged.filter("sort = 0").select("_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return done.unionByName(rest).withColumnRenamed("_id", id_col)
+    return by_block.cogroup(late.groupBy("block")).applyInPandas(finish, _RESULT).withColumnRenamed("_id", id_col)

@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -106,6 +108,32 @@ def test_substring_dedup(spark, span):
     assert sorted(map(tuple, got), key=str) == brute_substrings(rows, span)
 
 
+def test_substring_dedup_stores_texts_twice(spark, tmp_path):
+    """Texts that do not compress are written once and shuffled once, whatever repeats in them."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    common = noise(400)
+    rows = [(k, noise(15_000) + common + noise(15_000), "s") for k in range(50)]
+    sc, shared = spark.sparkContext._jsc.sc(), spark.conf.get("spark.checkpoint.dir")
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.length())) + sum(p.stat().st_size for p in Path(shared.removeprefix("file:")).glob("nestfold-*/*.parquet"))
+
+    before = written()
+    substring_dedup.substring_dedup(make(spark, rows), block_bytes=200_000).write.parquet(str(tmp_path / "out"))
+    assert written() - before < 3 * sum(len(t) for _, t, _ in rows)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_substrings(rows, 100)
+
+
+def test_substring_dedup_large_ids_beside_null(spark):
+    rows = [(None, "x" * 150, "s"), (2**53 + 1, "y" * 150, "s"), (-(2**63), "x" * 150, "s")]
+    got = substring_dedup.substring_dedup(make(spark, rows).coalesce(1)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_substrings(rows, 100)
+
+
 def test_radix_passes():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 99, 4000).astype(np.uint8)
